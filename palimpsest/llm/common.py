@@ -83,6 +83,6 @@ def join_unevenly(left: DataFrame, right: DataFrame, key: str, n: str, spread: C
     cold = right.join(F.broadcast(top.select(key)), key, "left_anti").select(
         F.col(key).alias("__key"), F.lit(False).alias("__other"), F.lit(0).cast("long").alias("__salt"), *[F.col(c).alias(f"__cold_{c}") for c in cols]
     )
-    out = out.withColumn("__salt", F.when(F.col("__hit"), F.xxhash64(spread) | F.lit(1)).otherwise(F.lit(0).cast("long")))
+    out = out.withColumn("__salt", F.when(F.col("__hit"), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
     out = out.join(cold, (out[key] == cold["__key"]) & (out["__salt"] == cold["__salt"]), "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"__{c}"), F.col(f"__cold_{c}")).alias(c) for c in cols])

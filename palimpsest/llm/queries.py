@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from palimpsest.llm import warc
 from palimpsest.llm.bpe import op10_bpe_roundtrip
+from palimpsest.llm.token_counts import op3_token_counts
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op5_warc": warc.op5_warc,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
+}
