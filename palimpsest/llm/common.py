@@ -86,3 +86,11 @@ def join_unevenly(left: DataFrame, right: DataFrame, key: str, n: str, spread: C
     out = out.withColumn("__salt", F.when(F.col("__hit"), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
     out = out.join(cold, (out[key] == cold["__key"]) & (out["__salt"] == cold["__salt"]), "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"__{c}"), F.col(f"__cold_{c}")).alias(c) for c in cols])
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a hint to broadcast it if it has at most so many rows, counted; otherwise as it is, for a shuffle.
+
+    df should be a written table or cheap to count.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
