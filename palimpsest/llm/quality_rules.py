@@ -26,8 +26,8 @@ SYMBOLS = "#*$%&|<>"
 SHARE, STEPS, LEAST = 0.75, 2, 60
 #: 0.75 / P(chi2 with 6 df <= its 0.75 quantile with 4 df): makes the covariance of that share one of the whole.
 CONSISTENCY = 1.486
-#: The chi-squared quantile for 4 degrees of freedom at 0.99999.
-CUTOFF = 28.5
+#: The chi-squared quantile for 4 degrees of freedom at 0.9999.
+CUTOFF = 23.51
 #: The transformed statistics, and the least scale of each.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.12, "x_lines": 0.12, "x_repeats": 0.12}
 _SPACE = " \t\n\x0b\f\r"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, warc
+from palimpsest.llm import decontamination, line_dedup, warc
 from palimpsest.llm.bpe import op10_bpe_roundtrip
 from palimpsest.llm.quality_rules import op9_quality_rules
 from palimpsest.llm.token_counts import op3_token_counts
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_warc": warc.op5_warc,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
 }
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
 }
