@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palimpsest.llm import decontamination, line_dedup, warc
 from palimpsest.llm.bpe import op10_bpe_roundtrip
+from palimpsest.llm.compression_classifier import op6_compression_classifier
 from palimpsest.llm.quality_rules import op9_quality_rules
 from palimpsest.llm.token_counts import op3_token_counts
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_compression_classifier": op6_compression_classifier,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
