@@ -32,7 +32,7 @@ MAX_COVERAGE = 0.5
 #: Words of the benchmark that one automaton takes.
 BLOCK_WORDS = 200_000
 
-_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 #: Lower-cases A-Z and turns every byte that is no part of a word into a space.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -215,7 +215,7 @@ def _pass(block: _Block):
 
 
 def _without(text: str, spans: list[dict]) -> str:
-    places = [m.span() for m in _WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text)]
     kept, at = [], 0
     for s in spans:
         kept.append(text[at : places[s["start"]][0]])
