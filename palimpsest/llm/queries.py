@@ -5,6 +5,7 @@ from __future__ import annotations
 from palimpsest.llm import decontamination, line_dedup, warc
 from palimpsest.llm.bpe import op10_bpe_roundtrip
 from palimpsest.llm.compression_classifier import op6_compression_classifier
+from palimpsest.llm.license_scan import op7_license_scan
 from palimpsest.llm.ngram_join import op1_ngram_join
 from palimpsest.llm.quality_rules import op9_quality_rules
 from palimpsest.llm.secrets import op2_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_warc": warc.op5_warc,
     "op6_compression_classifier": op6_compression_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
