@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a Python worker gets at once; texts are whole, so this bounds a worker's memory.
-ARROW_ROWS = 500
+from palimpsest.shipping import ship as ship
+
 #: Keys a "hot" side may hold. A key outside the HOT_KEYS most frequent ones has fewer than 1/HOT_KEYS of all rows.
 HOT_KEYS = 1000
 
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,23 +42,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it, and bound their batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if spark.sparkContext.applicationId in _shipped:
-        return
-    _shipped.add(spark.sparkContext.applicationId)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    archive = os.path.join(tempfile.mkdtemp(), "palimpsest_code.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "palimpsest")):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(archive)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: lambda bodies would otherwise evaluate it for every element."""
     return F.transform(F.array(value), body)[0]

@@ -122,14 +122,18 @@ def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataF
     order = {kind: i for i, kind in enumerate(KINDS)}
     whole = F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c not in (text, "base", "random")]
-    found = [F.transform(_spans(whole, *KINDS[kind], kind), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))) for kind, i in order.items()]
+    found = [_ordered(_spans(whole, *KINDS[kind], kind), i) for kind, i in order.items()]
     candidates = _spans(whole, CANDIDATE, 0, 20, "random")
     rows = written(docs.select(*others, F.array_sort(F.concat(*found)).alias("base"), _tested(candidates).alias("tested")), "secrets")
     from_bin = rejected_from(rows.select(F.explode("tested").alias("t")).select("t.family", "t.bin"), fdr)
     limits = F.create_map(*[F.lit(v) for pair in from_bin.items() for v in pair]) if from_bin else F.create_map().cast("map<string,int>")
     stands = F.filter("tested", lambda x: x["bin"] < F.coalesce(F.element_at(limits, x["family"]), F.lit(BINS + 1)))
-    random = F.transform(stands, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return rows.select(*others, "base", random.alias("random"))
+    return rows.select(*others, "base", _ordered(stands, len(KINDS)).alias("random"))
+
+
+def _ordered(spans: Column, order: int) -> Column:
+    """The spans in a form that sorts by start and then by order."""
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
 def _joined(spans: Column) -> Column:
