@@ -62,7 +62,6 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
         .groupBy("doc_id")
         .agg(F.collect_set("line").alias("__drop"))
     )
-    drops = broadcast_if_small(written(drops, "drops"), 20_000)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _line_key(x, min_words)), F.lit(False)))
     out = docs.join(drops, "doc_id", "left").withColumns({"__kept": F.when(F.col("__drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")), "n_lines": F.coalesce(F.size(lines), F.lit(0))})
