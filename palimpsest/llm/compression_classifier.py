@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     if not by_class[0] or not by_class[1]:
         return None
     model = Model((_train(by_class[1]), _train(by_class[0])))
-    rows = _measured(texts.filter("half = 1").select("y", "text"), model).select("y", "x").collect()
+    rows = _measured(texts.filter("half = 1").select("y", "text"), model).select("y", F.col("__x").alias("x")).collect()
     x, y = np.array([r["x"] for r in rows]).reshape(-1, 2), np.array([r["y"] for r in rows], float)
     if 0 < y.sum() < len(y):
         model.weights = _logistic(x, y)
@@ -101,26 +101,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
 
 
 def _measured(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__x", T.ArrayType(T.DoubleType()))])
     dictionaries = docs.sparkSession.sparkContext.broadcast(model.dictionaries)
 
     def run(batches):
         for batch in batches:
             x = [features(t, dictionaries.value) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names, "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names, "__x"])
 
     return docs.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with score (0 to 1, higher: the label 1 is likelier) and predicted (1 from 0.5 on)."""
-    docs = docs.drop("score", "predicted", "x")
+    docs = docs.drop("score", "predicted")
     ship(docs.sparkSession)
     if model is None:
         return docs.withColumns({"score": F.lit(0.5), "predicted": F.lit(1)})
     w = model.weights
-    out = _measured(docs, model).withColumn("score", 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.col("x")[0] + w[2] * F.col("x")[1]))))
-    return out.drop("x").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = _measured(docs, model).withColumn("score", 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.col("__x")[0] + w[2] * F.col("__x")[1]))))
+    return out.drop("__x").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op6_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,10 +124,10 @@ def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataF
     others = [c for c in docs.columns if c not in (text, "base", "random")]
     found = [_ordered(_spans(whole, *KINDS[kind], kind), i) for kind, i in order.items()]
     candidates = _spans(whole, CANDIDATE, 0, 20, "random")
-    rows = written(docs.select(*others, F.array_sort(F.concat(*found)).alias("base"), _tested(candidates).alias("tested")), "secrets")
-    from_bin = rejected_from(rows.select(F.explode("tested").alias("t")).select("t.family", "t.bin"), fdr)
+    rows = written(docs.select(*others, F.array_sort(F.concat(*found)).alias("base"), _tested(candidates).alias("__tested")), "secrets")
+    from_bin = rejected_from(rows.select(F.explode("__tested").alias("t")).select("t.family", "t.bin"), fdr)
     limits = F.create_map(*[F.lit(v) for pair in from_bin.items() for v in pair]) if from_bin else F.create_map().cast("map<string,int>")
-    stands = F.filter("tested", lambda x: x["bin"] < F.coalesce(F.element_at(limits, x["family"]), F.lit(BINS + 1)))
+    stands = F.filter("__tested", lambda x: x["bin"] < F.coalesce(F.element_at(limits, x["family"]), F.lit(BINS + 1)))
     return rows.select(*others, "base", _ordered(stands, len(KINDS)).alias("random"))
 
 
