@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontamination, line_dedup, warc
+from palimpsest.llm import decontamination, line_dedup, ngram_join, warc
 from palimpsest.llm.bpe import op10_bpe_roundtrip
 from palimpsest.llm.compression_classifier import op6_compression_classifier
 from palimpsest.llm.license_scan import op7_license_scan
-from palimpsest.llm.ngram_join import op1_ngram_join
 from palimpsest.llm.quality_rules import op9_quality_rules
 from palimpsest.llm.secrets import op2_secret_scan
 from palimpsest.llm.token_counts import op3_token_counts
 
 QUERIES = {
-    "op1_ngram_join": op1_ngram_join,
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -25,6 +24,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
