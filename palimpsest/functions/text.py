@@ -33,9 +33,18 @@ def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: lambda bodies would otherwise evaluate it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fold_token(text: Column) -> Column:
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
 def tokens(text: Column) -> Column:
     """The search tokens of a text, in order: letters and digits in lower case, without accents."""
-    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), BETWEEN_TOKENS), lambda t: t != "")
+    return F.filter(F.split(fold_token(text), BETWEEN_TOKENS), lambda t: t != "")
 
 
 def query_terms(query: str) -> list[str]:

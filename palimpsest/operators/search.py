@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import as_timestamp, julian_day, like_substring, query_terms, round_half_away, tokens
+from palimpsest.functions.text import as_timestamp, fold_token, julian_day, let, like_substring, query_terms, round_half_away, tokens
 from palimpsest.operators.filters import visible
 from palimpsest.schema import MEMORY_COLS
 
@@ -44,14 +44,17 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     """(chunk_id, memory_id, bm25) of the chunks that hold all terms of the query; higher is better. The statistics are
     those of all chunks, of old and deleted memories too. A query without terms finds nothing."""
     terms = query_terms(query)
-    words = chunks.select(F.col("id").alias("chunk_id"), "memory_id", tokens(F.col("text")).alias("words"))
     if not terms:
-        return words.select("chunk_id", "memory_id", F.lit(0.0).alias("bm25")).limit(0)
-    tf = [_count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select("chunk_id", "memory_id", F.size("words").cast("double").alias("dl"), *tf)
-    counts = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))])
+        return chunks.select(F.col("id").alias("chunk_id"), "memory_id", F.lit(0.0).alias("bm25")).limit(0)
+    tf = [f"tf{i}" for i in range(len(terms))]
+    every = _term_counts(chunks, terms)
+    counts = every.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(x) > 0).cast("double").alias(x.replace("tf", "df")) for x in tf])
+    # a chunk without a term's letters isn't taken apart
+    likely = chunks
+    for term in terms:
+        likely = likely.filter(F.contains(fold_token(F.col("text")), F.lit(term)))
     # one row of scalars
-    scored = counted.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(counts))
+    scored = _term_counts(likely, terms).filter(" AND ".join(f"{x} > 0" for x in tf)).join(F.broadcast(counts))
     parts = [_bm25_part(F.col(f"tf{i}"), F.col(f"df{i}")) for i in range(len(terms))]
     total = parts[0]
     for p in parts[1:]:
@@ -59,8 +62,11 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     return scored.select("chunk_id", "memory_id", total.alias("bm25"))
 
 
-def _count_of(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == term)).cast("double")
+def _term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, memory_id, dl, tf0, tf1...): the tokens of each chunk, and those that are the terms."""
+    of = lambda words, term: F.size(F.filter(words, lambda w: w == term)).cast("double")
+    counted = let(tokens(F.col("text")), lambda words: F.struct(F.size(words).cast("double").alias("dl"), *[of(words, t).alias(f"tf{i}") for i, t in enumerate(terms)]))
+    return chunks.select(F.col("id").alias("chunk_id"), "memory_id", counted.alias("counted")).select("chunk_id", "memory_id", "counted.*")
 
 
 def _bm25_part(tf: Column, df: Column) -> Column:
