@@ -12,6 +12,8 @@ from palimpsest.shipping import ship as ship
 
 #: Keys a "hot" side may hold. A key outside the HOT_KEYS most frequent ones has fewer than 1/HOT_KEYS of all rows.
 HOT_KEYS = 1000
+#: Rows of a side that is broadcast, counted before.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +69,19 @@ def join_unevenly(left: DataFrame, right: DataFrame, key: str, n: str, spread: C
     return out.select(*left.columns, *[F.coalesce(F.col(f"__{c}"), F.col(f"__cold_{c}")).alias(c) for c in cols])
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df with a hint to broadcast it if it has at most so many rows, counted; otherwise as it is, for a shuffle.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it if it has at most BROADCAST_ROWS rows; otherwise as it is, for a shuffle.
 
     df should be a written table or cheap to count.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if _is_small(df) else df
+
+
+def join_by_size(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
+    """left LEFT JOIN right USING (key), without n: by a broadcast if right, a written table, is small, and otherwise
+    by join_unevenly(), so that no key's rows meet in one task."""
+    return left.join(F.broadcast(right.drop(n)), key, "left") if _is_small(right) else join_unevenly(left, right, key, n, spread)
+
+
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import broadcast_if_small, table, written
+from palimpsest.llm.common import join_by_size, table, written
 
 MIN_SITES, MIN_WORDS = 8, 4
 #: The sketch has 2**LG_K registers; its relative standard error is 1.04 / sqrt(2**LG_K).
@@ -39,25 +39,24 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     # a line with fewer rows than that, or on one site, needs no sketch
     common = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("site").alias("a"), F.max("site").alias("b"))
     common = written(common.filter((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | F.lit(min_sites <= 1))).select("line", "n", "first"), "common")
-    found = lines.filter("sited").join(broadcast_if_small(common.select("line")), "line", "left_semi")
-    guess = written(found.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n_sites")), "sketched")
+    among = lambda some: join_by_size(lines.filter("sited"), some.select("line", "n", F.lit(True).alias("among")), "line", "n", F.col("doc_id")).filter("among")
+    guess = among(common).groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n_sites"))
+    guess = written(common.select("line", "n").join(guess, "line"), "sketched")
     margin = max(1.0, 4 * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.abs(F.col("n_sites") - min_sites) <= margin
-    exact = found.join(broadcast_if_small(guess.filter(near).select("line")), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n_sites"))
-    sites = guess.filter(~near).unionByName(exact).filter(F.col("n_sites") >= min_sites)
+    exact = among(guess.filter(near)).select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n_sites"))
+    sites = guess.filter(~near).select("line", "n_sites").unionByName(exact).filter(F.col("n_sites") >= min_sites)
     return common.join(sites, "line")
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with boilerplate lines taken out of text, with n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    spread = broadcast_if_small(written(boilerplate(docs, site, min_sites, min_words).select("line", "first"), "spread"))
+    spread = written(boilerplate(docs, site, min_sites, min_words).select("line", "n", "first"), "spread")
     keys = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: _line_key(x, min_words)))
+    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(keys).alias("line")).filter("line IS NOT NULL")
     drops = (
-        docs.filter("doc_id IS NOT NULL")
-        .select("doc_id", F.explode(keys).alias("line"))
-        .filter("line IS NOT NULL")
-        .join(spread, "line")
+        join_by_size(lines, spread, "line", "n", F.col("doc_id"))
         .filter(F.col("doc_id") != F.col("first"))
         .groupBy("doc_id")
         .agg(F.collect_set("line").alias("__drop"))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import broadcast_if_small, let, table, written
+from palimpsest.llm.common import join_by_size, let, table, written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -86,10 +86,10 @@ def _distance(params: str) -> Column:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """grp and est: the mean and the Cholesky factor of the covariance of each group."""
+    """grp, n (rows) and est: the mean and the Cholesky factor of the covariance of each group."""
     names = list(FEATURES)
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    sums = rows.groupBy("grp").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i, j in pairs])
+    sums = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i, j in pairs])
     for i, j in pairs:
         floor = FEATURES[names[i]] ** 2 if i == j else 0.0
         cov = F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
@@ -99,7 +99,7 @@ def _moments(rows: DataFrame) -> DataFrame:
         rest = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
         value = F.col(f"c{i}{j}") - (_sum(rest) if rest else F.lit(0.0))
         sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}{j}"))
-    return sums.select("grp", F.struct(*[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i, j in pairs]).alias("est"))
+    return sums.select("grp", "n", F.struct(*[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i, j in pairs]).alias("est"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -108,29 +108,27 @@ def _grouped(rows: DataFrame) -> DataFrame:
     n = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang_"), key.alias("key_")).agg(F.count(F.lit(1)).alias("n"))
     by_lang = n.groupBy("lang_").agg(F.sum("n").alias("n_lang"))
     grp = F.when(F.col("n") >= LEAST, F.col("key_")).when(F.col("n_lang") >= LEAST, F.col("lang_")).otherwise(F.lit("\x1fall"))
-    groups = written(n.join(by_lang, "lang_").select("key_", grp.alias("grp")), "groups")
-    return rows.withColumn("key_", key).join(broadcast_if_small(groups), "key_").drop("key_")
+    groups = written(n.join(by_lang, "lang_").select("key_", "n", grp.alias("grp")), "groups")
+    return join_by_size(rows.withColumn("key_", key), groups, "key_", "n", F.xxhash64(*rows.columns)).drop("key_")
 
 
 def outliers(rows: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """rows (statistics with lang and source) with distance, and outlier (distance > cutoff)."""
     keep = [c for c in rows.columns if c not in ("distance", "outlier")]
     rows = written(_grouped(rows.select(*keep).withColumns(_features())), "features")
-    names = list(FEATURES)
-    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in names])
+    names, size = list(FEATURES), F.count(F.lit(1)).alias("n")
+    quartiles = rows.groupBy("grp").agg(size, *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in names])
     start = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(names)]
     for i, x in enumerate(names):
         scale = F.sqrt(F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) + FEATURES[x] ** 2)
         start += [(scale if i == j else F.lit(0.0)).alias(f"l{i}{j}") for j in range(i + 1)]
-    est = quartiles.select("grp", F.struct(*start).alias("est"))
+    est = written(quartiles.select("grp", "n", F.struct(*start).alias("est")), "estimate")
+    of_group = lambda rows, values: join_by_size(rows, values, "grp", "n", F.xxhash64(*keep))
     for _ in range(STEPS):
-        est = broadcast_if_small(written(est, "estimate"))
-        near = rows.join(est, "grp").withColumn("d", _distance("est"))
-        limit = near.groupBy("grp").agg(F.percentile_approx("d", SHARE, 1000).alias("limit"))
-        near = near.join(broadcast_if_small(written(limit, "limit")), "grp").filter("d <= limit")
-        est = _moments(near)
-    est = broadcast_if_small(written(est, "estimate"))
-    rows = rows.join(est, "grp").withColumn("distance", _distance("est") / CONSISTENCY)
+        near = of_group(rows, est).withColumn("d", _distance("est"))
+        limit = written(near.groupBy("grp").agg(size, F.percentile_approx("d", SHARE, 1000).alias("limit")), "limit")
+        est = written(_moments(of_group(near, limit).filter("d <= limit")), "estimate")
+    rows = of_group(rows, est).withColumn("distance", _distance("est") / CONSISTENCY)
     return rows.withColumn("outlier", F.col("distance") > cutoff).select(*keep, "distance", "outlier")
 
 

@@ -87,3 +87,28 @@ def test_join_unevenly(spark, monkeypatch):
     right = spark.createDataFrame([(1, 70, "a"), (2, 20, "b")], "k long, n long, v string")
     found = [(r["id"], r["v"]) for r in join_unevenly(left, right, "k", "n", F.col("id")).orderBy("id").collect()]
     assert found == [(i, "a" if i < 70 else "b" if i < 90 else None) for i in range(100)]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_shuffled_joins(spark, monkeypatch, seed):
+    """What the operators find doesn't depend on which sides are small enough for a broadcast."""
+    from palimpsest.llm import common
+    from palimpsest.llm.line_dedup import line_dedup
+    from palimpsest.llm.quality_rules import quality_rules
+
+    r = random.Random(seed)
+    common_lines = [f"all pages say this line {i}" for i in range(4)]
+    of_site = lambda i: f"s{r.choice([0, 0, 0, *range(12)])}"
+    rows = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(r.randrange(20, 60))) + "\n" + "\n".join(r.sample(common_lines, 3)), "en", of_site(i)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def found():
+        lines = {x["doc_id"]: (x["text"], x["n_dropped"]) for x in line_dedup(docs).collect()}
+        rules = {x["doc_id"]: (round(x["distance"], 6), x["kept"]) for x in quality_rules(docs).collect()}
+        return lines, rules
+
+    by_broadcast = found()
+    assert sum(n > 0 for _, n in by_broadcast[0].values()) > 150
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    assert found() == by_broadcast
