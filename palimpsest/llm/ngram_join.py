@@ -129,8 +129,7 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids that link: the suffix filter, then the shingles themselves."""
-    pairs = written(pairs, "pairs")
+    """The pairs (a, b), a written table of doc_ids, that link: the suffix filter, then the shingles themselves."""
     needed = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
 
     def summarise(batches):
@@ -234,10 +233,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     groups = written(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig", "node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
 
     shared = _first(groups, _index(docs, counts))
-    tried = _star_pairs(shared)
+    tried = written(_star_pairs(shared), "pairs")
     links = _verified(tried, docs)
     labels = written(components(links), "classes")
-    crossing = _verified(_crossing_pairs(shared, labels), docs)
+    # those of the stars that cross classes are known not to link
+    crossing = _crossing_pairs(shared, labels).join(broadcast_if_small(tried), ["a", "b"], "left_anti")
+    crossing = _verified(written(crossing, "pairs"), docs)
     if not crossing.isEmpty():
         labels = written(components(links.union(crossing)), "classes")
 
