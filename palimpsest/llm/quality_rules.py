@@ -2,8 +2,8 @@
 
 Minimum-covariance-determinant estimates per language and source: from medians and quartiles, concentration steps
 take the nearer three quarters of a group's documents and compute their mean and covariance again. A document is
-rejected if its statistics, transformed, are further away than CUTOFF by the squared Mahalanobis distance. Groups with
-too few documents use the estimate of their language, or that of all documents.
+rejected if its statistics, transformed, are further away than CUTOFF by the squared Mahalanobis distance. Documents of
+groups with too few are judged by the estimate over all documents of their language, or over all there are.
 
 Every statistic has a least scale, so that a group in which it never varies still has an invertible covariance.
 
@@ -103,32 +103,50 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with grp: language and source, or what stands in for a group of too few documents."""
-    key = F.concat_ws("\x1f", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
-    n = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang_"), key.alias("key_")).agg(F.count(F.lit(1)).alias("n"))
-    by_lang = n.groupBy("lang_").agg(F.sum("n").alias("n_lang"))
-    grp = F.when(F.col("n") >= LEAST, F.col("key_")).when(F.col("n_lang") >= LEAST, F.col("lang_")).otherwise(F.lit("\x1fall"))
-    groups = written(n.join(by_lang, "lang_").select("key_", "n", grp.alias("grp")), "groups")
-    return join_by_size(rows.withColumn("key_", key), groups, "key_", "n", F.xxhash64(*rows.columns)).drop("key_")
-
-
-def outliers(rows: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """rows (statistics with lang and source) with distance, and outlier (distance > cutoff)."""
-    keep = [c for c in rows.columns if c not in ("distance", "outlier")]
-    rows = written(_grouped(rows.select(*keep).withColumns(_features())), "features")
+    """rows with grp, the level that judges a row: its language and source, its language, or all rows; and levels, those
+    of the three that judge any row. A level's estimate is over every row of the level, whatever judges that row."""
+    lang = F.coalesce("lang", F.lit(""))
+    # prefixes keep the levels apart
+    key = F.concat(F.lit("s"), F.concat_ws("\x1f", lang, F.coalesce("source", F.lit(""))))
+    n = rows.groupBy(F.concat(F.lit("l"), lang).alias("lang_"), key.alias("key_")).agg(F.count(F.lit(1)).alias("n"))
+    by_lang = n.groupBy("lang_").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least_"))
+    whole = by_lang.agg(F.min("n_lang").alias("least_lang"))
+    own, of_lang = F.col("n") >= LEAST, F.col("n_lang") >= LEAST
+    grp = F.when(own, F.col("key_")).when(of_lang, F.col("lang_")).otherwise(F.lit("a"))
+    judging = [F.when(own, F.col("key_")), F.when(of_lang & (F.col("least_") < LEAST), F.col("lang_")), F.when(F.col("least_lang") < LEAST, F.lit("a"))]
+    groups = n.join(by_lang, "lang_").crossJoin(F.broadcast(whole)).select("key_", "n", grp.alias("grp"), F.array_compact(F.array(*judging)).alias("levels"))
+    return join_by_size(rows.withColumn("key_", key), written(groups, "groups"), "key_", "n", F.xxhash64(*rows.columns)).drop("key_")
+
+
+def _two_steps(members: DataFrame) -> DataFrame:
+    """grp, n and est after STEPS concentration steps on SHARE of a group, from its medians and quartiles."""
     names, size = list(FEATURES), F.count(F.lit(1)).alias("n")
-    quartiles = rows.groupBy("grp").agg(size, *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in names])
+    quartiles = members.groupBy("grp").agg(size, *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in names])
     start = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(names)]
     for i, x in enumerate(names):
         scale = F.sqrt(F.pow((F.col(x)[2] - F.col(x)[0]) / 1.349, 2) + FEATURES[x] ** 2)
         start += [(scale if i == j else F.lit(0.0)).alias(f"l{i}{j}") for j in range(i + 1)]
     est = written(quartiles.select("grp", "n", F.struct(*start).alias("est")), "estimate")
-    of_group = lambda rows, values: join_by_size(rows, values, "grp", "n", F.xxhash64(*keep))
     for _ in range(STEPS):
-        near = of_group(rows, est).withColumn("d", _distance("est"))
+        near = _with_values(members, est).withColumn("d", _distance("est"))
         limit = written(near.groupBy("grp").agg(size, F.percentile_approx("d", SHARE, 1000).alias("limit")), "limit")
-        est = written(_moments(of_group(near, limit).filter("d <= limit")), "estimate")
-    rows = of_group(rows, est).withColumn("distance", _distance("est") / CONSISTENCY)
+        est = written(_moments(_with_values(near.drop("est"), limit).filter("d <= limit")), "estimate")
+    return est
+
+
+def _with_values(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows with the values of their grp."""
+    return join_by_size(rows, values, "grp", "n", F.xxhash64(*FEATURES))
+
+
+def outliers(rows: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """rows (statistics with lang and source) with distance, and outlier (distance > cutoff)."""
+    keep = [c for c in rows.columns if c not in ("distance", "outlier")]
+    rows = written(_grouped(rows.select(*keep).withColumns(_features())), "features")
+    est = _two_steps(rows.select(F.explode("levels").alias("grp"), *FEATURES))
+    judged = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    est = written(judged.join(est.drop("n"), "grp"), "judging")
+    rows = join_by_size(rows, est, "grp", "n", F.xxhash64(*keep)).withColumn("distance", _distance("est") / CONSISTENCY)
     return rows.withColumn("outlier", F.col("distance") > cutoff).select(*keep, "distance", "outlier")
 
 

@@ -90,6 +90,20 @@ def test_outliers_against_numpy(spark, none):
     assert qr.quality_rules(none).count() == 0
 
 
+STATISTICS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+
+
+def test_outliers_of_small_groups(spark):
+    """Junk of rare or null sources and languages is judged by the rows of the language, or by all rows."""
+    r = random.Random(5)
+    clean = lambda i, lang, source: (i, lang, source, 200, 1000 + r.randrange(-40, 40), 0, 20, 0, 0)
+    junk = lambda i, lang, source: (i, lang, source, 200, 1800, 200, 20, 0, 0)
+    rows = [clean(i, "en", "hot") for i in range(300)] + [clean(300, "en", "rare"), clean(301, "xx", "all"), clean(302, None, None)]
+    bad = [junk(400, "en", "rare2"), junk(401, "en", None), junk(402, "yy", "hot"), junk(403, None, "all"), *[junk(410 + i, "en", "few") for i in range(5)]]
+    found = qr.outliers(spark.createDataFrame(rows + bad, STATISTICS)).collect()
+    assert {x["doc_id"] for x in found if x["outlier"]} == {x[0] for x in bad} and len(found) == len(rows + bad)
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
