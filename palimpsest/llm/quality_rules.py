@@ -1,11 +1,14 @@
 """Operator 9: rules of quality on statistics of a text, and robust multivariate outliers. DataFrame functions only.
 
-Minimum-covariance-determinant estimates per language and source: from medians and quartiles, concentration steps
-take the nearer three quarters of a group's documents and compute their mean and covariance again. A document is
-rejected if its statistics, transformed, are further away than CUTOFF by the squared Mahalanobis distance. Documents of
-groups with too few are judged by the estimate over all documents of their language, or over all there are.
+Minimum-covariance-determinant estimates per language and source: from several starts, concentration steps take the
+nearer half of a group's documents and compute their mean and covariance again until its determinant falls no more; the
+start of the least determinant counts. A document is rejected if its statistics, transformed, are further away than
+CUTOFF by the squared Mahalanobis distance. Documents of groups with too few are judged by the estimate over all
+documents of their language, or over all there are. (outliers() by default takes a fixed number of steps from one start
+on three quarters; quality_rules() doesn't.)
 
-Every statistic has a least scale, so that a group in which it never varies still has an invertible covariance.
+Every statistic has a least scale, which bounds its variance below, so that a group in which it never varies still has
+an invertible covariance.
 
 Null and empty texts have no words, and fail the base rules; null languages and sources count as empty ones. Repeated
 rows are judged alike and count as often as they come. Extra columns pass through.
@@ -28,6 +31,9 @@ SHARE, STEPS, LEAST = 0.75, 2, 60
 CONSISTENCY = 1.486
 #: The chi-squared quantile for 4 degrees of freedom at 0.9999.
 CUTOFF = 23.51
+#: Share of a group that the least-determinant estimate rests on, 0.5 / P(chi2 with 6 df <= its 0.5 quantile with 4 df),
+#: and the part by which a determinant must fall to go on; below it are the errors of the approximate quantiles.
+HALF, HALF_CONSISTENCY, FALLS = 0.5, 2.109, 1e-3
 #: The transformed statistics, and the least scale of each.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.12, "x_lines": 0.12, "x_repeats": 0.12}
 _SPACE = " \t\n\x0b\f\r"
@@ -85,8 +91,11 @@ def _distance(params: str) -> Column:
     return _sum([y * y for y in solved])
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """grp, n (rows) and est: the mean and the Cholesky factor of the covariance of each group."""
+def _moments(rows: DataFrame, factor: float | None = None) -> DataFrame:
+    """grp, n (rows) and est: the mean and the Cholesky factor of the covariance of each group.
+
+    The squares of the least scales are added to the variances; with a factor, they are lower bounds of the variances,
+    given the statistics before, of the covariance times the factor."""
     names = list(FEATURES)
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     sums = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(names)], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i, j in pairs])
@@ -94,11 +103,12 @@ def _moments(rows: DataFrame) -> DataFrame:
         floor = FEATURES[names[i]] ** 2 if i == j else 0.0
         cov = F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
         # rounding can leave a variance just below zero
-        sums = sums.withColumn(f"c{i}{j}", (F.greatest(cov, F.lit(0.0)) if i == j else cov) + floor)
+        cov = F.greatest(cov, F.lit(0.0)) if i == j else cov
+        sums = sums.withColumn(f"c{i}{j}", cov + floor if factor is None else cov * factor)
     for i, j in pairs:
         rest = [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)]
         value = F.col(f"c{i}{j}") - (_sum(rest) if rest else F.lit(0.0))
-        sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}{j}"))
+        sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9 if factor is None else FEATURES[names[i]] ** 2))) if i == j else value / F.col(f"l{j}{j}"))
     return sums.select("grp", "n", F.struct(*[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i, j in pairs]).alias("est"))
 
 
@@ -134,19 +144,51 @@ def _two_steps(members: DataFrame) -> DataFrame:
     return est
 
 
+def least_determinant(members: DataFrame) -> DataFrame:
+    """grp, n and est: the minimum-covariance-determinant estimate on HALF of a group.
+
+    The starts are the three quartiles, with the quartiles' scales, and the moments of all rows. From each, concentration
+    steps go on until the determinant falls no more; the start of the least determinant stays."""
+    names, size = list(FEATURES), F.count(F.lit(1)).alias("n")
+    quartiles = members.groupBy("grp").agg(size, *[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in names])
+    scales = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(FEATURES[x])) for x in names]
+    factor = [(scales[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(names)) for j in range(i + 1)]
+    centred = lambda q: F.struct(*[F.col(x)[q].alias(f"m{i}") for i, x in enumerate(names)], *factor)
+    starts = quartiles.select("grp", "n", F.posexplode(F.array(*[centred(q) for q in range(3)])).alias("start", "est"))
+    starts = starts.unionByName(_moments(members, 1.0).withColumn("start", F.lit(3)))
+    # a candidate is a group and a start; from here on it takes the place of the group
+    candidate = lambda df: df.withColumn("of", F.col("grp")).withColumn("grp", F.concat_ws("\x1e", "grp", F.col("start").cast("string")))
+    going = written(candidate(starts).select("of", "grp", "n", "est", F.lit(float("inf")).alias("det")), "candidates")
+    rows = written(candidate(members.withColumn("start", F.explode(F.array(*map(F.lit, range(4)))))).drop("start", "of"), "members")
+    ended = [going.filter("false").select("of", "n", "det", "est")]
+    while not going.isEmpty():
+        near = _with_values(rows, going.select("grp", "n", "est")).filter("est IS NOT NULL").withColumn("d", _distance("est")).drop("est")
+        near = written(near, "distances")
+        limit = written(near.groupBy("grp").agg(size, F.percentile_approx("d", HALF, 1000).alias("limit")), "limit")
+        done = _moments(_with_values(near, limit).filter("d <= limit"), HALF_CONSISTENCY).drop("n")
+        det = reduce(lambda a, b: a * b, [F.pow(F.col(f"new.l{i}{i}"), 2) for i in range(len(names))])
+        step = going.join(done.withColumnRenamed("est", "new"), "grp").withColumn("new_det", det).withColumn("falls", F.col("new_det") < F.col("det") * (1 - FALLS))
+        step = written(step, "step")
+        ended.append(step.filter("NOT falls").select("of", "n", "det", "est"))
+        going = step.filter("falls").select("of", "grp", "n", F.col("new").alias("est"), F.col("new_det").alias("det"))
+    return written(reduce(DataFrame.unionByName, ended).groupBy(F.col("of").alias("grp")).agg(F.min_by(F.struct("n", "est"), "det").alias("v")).select("grp", "v.n", "v.est"), "estimate")
+
+
 def _with_values(rows: DataFrame, values: DataFrame) -> DataFrame:
     """rows with the values of their grp."""
     return join_by_size(rows, values, "grp", "n", F.xxhash64(*FEATURES))
 
 
-def outliers(rows: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """rows (statistics with lang and source) with distance, and outlier (distance > cutoff)."""
+def outliers(rows: DataFrame, cutoff: float = CUTOFF, estimate=_two_steps, consistency: float = CONSISTENCY) -> DataFrame:
+    """rows (statistics with lang and source) with distance, and outlier (distance > cutoff).
+
+    estimate gives the means and Cholesky factors, by whose distances divided by consistency rows are judged."""
     keep = [c for c in rows.columns if c not in ("distance", "outlier")]
     rows = written(_grouped(rows.select(*keep).withColumns(_features())), "features")
-    est = _two_steps(rows.select(F.explode("levels").alias("grp"), *FEATURES))
+    est = estimate(rows.select(F.explode("levels").alias("grp"), *FEATURES))
     judged = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     est = written(judged.join(est.drop("n"), "grp"), "judging")
-    rows = join_by_size(rows, est, "grp", "n", F.xxhash64(*keep)).withColumn("distance", _distance("est") / CONSISTENCY)
+    rows = join_by_size(rows, est, "grp", "n", F.xxhash64(*keep)).withColumn("distance", _distance("est") / consistency)
     return rows.withColumn("outlier", F.col("distance") > cutoff).select(*keep, "distance", "outlier")
 
 
@@ -155,7 +197,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     rows = text_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     rows = written(rows, "statistics")
-    judged = outliers(rows.filter(~F.col("base_failed"))).withColumn("kept", ~F.col("outlier"))
+    judged = outliers(rows.filter(~F.col("base_failed")), CUTOFF, least_determinant, 1.0).withColumn("kept", ~F.col("outlier"))
     failed = rows.filter("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
     return judged.drop("outlier").unionByName(failed)
 

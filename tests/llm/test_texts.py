@@ -104,6 +104,17 @@ def test_outliers_of_small_groups(spark):
     assert {x["doc_id"] for x in found if x["outlier"]} == {x[0] for x in bad} and len(found) == len(rows + bad)
 
 
+def test_outliers_in_much_junk(spark):
+    """35 % of alike junk doesn't pass for the norm, and clean rows stay."""
+    g = random.Random(7)
+    own = lambda i: "".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=g.randrange(3, 9)))
+    clean = [(i, " ".join(map(own, range(80))), "en", "hot") for i in range(130)]
+    junk = [(1000 + i, " ".join(own(k) + " |#$" for k in range(40)), "en", "hot") for i in range(70)]
+    found = qr.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    assert not any(x["base_failed"] for x in found)
+    assert {x["doc_id"] for x in found if x["kept"]} == set(range(130))
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
