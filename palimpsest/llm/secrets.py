@@ -1,12 +1,14 @@
 """Operator 2: secrets in texts, by patterns and by a battery of randomness tests. DataFrame functions only.
 
 Patterns give spans of the kinds assign, access and hex. Besides, every run of 20 or more characters of a base-64
-alphabet that mixes digits and letters is tested: its encoding is inferred (hex, base32, base64), and under the
+alphabet, of which one is a letter or digit, is tested: its encoding is inferred, the one of the least alphabet that
+holds its characters (decimal, hex of one case or mixed, single-case letters, base32, base36, letters, base62, base64;
+a random run of a larger alphabet that happens to lack some characters is random over the smaller), and under the
 hypothesis that its characters are independent and uniform over the encoding's alphabet, three p values are computed:
 chi-squared over the alphabet, runs above and below the middle, and serial correlation. The least of them, times three,
 counts. Runs of equal encoding and similar length form a family, in which the Benjamini-Hochberg procedure rejects the
 hypothesis at a false-discovery rate of FDR; a run for which it stands is a span of kind random.
-The procedure works on counts of p values in fixed bins, of which there are at most 41 for each of some 60 families.
+The procedure works on counts of p values in fixed bins, of which there are at most 41 for each of some 200 families.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are scanned alike, each
 of them counting in its family. Extra columns pass through unless they bear the name of a result.
@@ -33,10 +35,27 @@ FDR = 0.05
 BINS, PER_DECADE = 40, 4
 #: The alphabets, in the order of their codes.
 ALPHABETS = {
+    "decimal": "0123456789",
     "hex": "0123456789abcdef",
+    "mixedhex": "0123456789abcdef",
+    "base26": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: What the runs of an encoding match, the least alphabet first; all others are base64.
+ENCODINGS = {
+    "decimal": "^[0-9]+$",
+    "hex": "^([0-9a-f]+|[0-9A-F]+)$",
+    "mixedhex": "^[0-9A-Fa-f]+$",
+    "base26": "^([a-z]+|[A-Z]+)$",
+    "base32": "^([A-Z2-7]+|[a-z2-7]+)$",
+    "base36": "^([0-9a-z]+|[0-9A-Z]+)$",
+    "base52": "^[A-Za-z]+$",
+    "base62": "^[A-Za-z0-9]+$",
+}
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
@@ -89,20 +108,21 @@ def _p_value(codes: Column, k: Column) -> Column:
 
 
 def _tested(candidates: Column) -> Column:
-    """array<struct<start, end, kind, family, bin>> of the candidates that mix digits and letters."""
+    """array<struct<start, end, kind, family, bin>> of the candidates that have a letter or digit."""
+    alphabets = F.create_map(*[F.lit(v) for pair in ALPHABETS.items() for v in pair])
 
     def one(x: Column) -> Column:
         bare = F.rtrim(x["found"], F.lit("="))
-        encoding = F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(bare.rlike("^[A-Z2-7]+$"), F.lit("base32")).otherwise(F.lit("base64"))
-        plain = lambda e: F.when(e == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
-        alphabet = lambda e: F.when(e == "hex", F.lit(ALPHABETS["hex"])).when(e == "base32", F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"]))
+        encoding = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(name)) for name, pattern in ENCODINGS.items()], F.lit("base64"))
+        plain = lambda e: F.when(e == "base32", F.upper(bare)).when(e.isin("hex", "mixedhex", "base26", "base36"), F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
+        alphabet = lambda e: F.element_at(alphabets, e)
         codes = lambda e: let(F.struct(plain(e).alias("s"), alphabet(e).alias("a")), lambda y: F.transform(F.sequence(F.lit(1), F.length(y["s"])), lambda i: F.position(F.substring(y["s"], i, F.lit(1)), y["a"]) - 1))
         band = F.floor(F.log2(F.length(bare)) * 2).cast("string")
         bin_ = lambda p: F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(p, F.lit(1e-12))) * PER_DECADE)).cast("int")
         row = lambda e, p: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind"), F.concat(e, F.lit(":"), band).alias("family"), bin_(p).alias("bin"))
         return let(encoding, lambda e: let(let(codes(e), lambda c: _p_value(c, F.length(alphabet(e)))), lambda p: row(e, p)))
 
-    return F.transform(F.filter(candidates, lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")), one)
+    return F.transform(F.filter(candidates, lambda x: x["found"].rlike("[0-9A-Za-z]")), one)
 
 
 def rejected_from(tested: DataFrame, fdr: float = FDR) -> dict[str, int]:

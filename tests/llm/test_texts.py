@@ -146,6 +146,24 @@ def test_randomness(spark):
     assert len([i for i in hit if i < 60]) >= 55 and not [i for i in hit if i >= 60]
 
 
+@pytest.mark.parametrize("n", [20, 40, 64])
+def test_random_keys_of_every_alphabet(spark, n):
+    """Random keys over small alphabets, or of letters only, stand among words."""
+    r = random.Random(n)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    key = lambda symbols: "".join(r.choices(symbols, k=n))
+    kinds = [digits + lower, digits + upper, upper + lower, upper + lower + digits, lower + "234567", upper + lower + digits + "+/"]
+    keys = [(k, key(symbols)) for k, symbols in enumerate(kinds) for _ in range(60)]
+    keys += [(len(kinds), "".join(r.choice((c, c.upper())) for c in key("0123456789abcdef"))) for _ in range(60)]
+    word = lambda i: "".join(w.capitalize() if i % 2 else w for w in r.choices("the then there tree teeth test settee sheet these".split(), k=n))[: n - 1]
+    words = [word(i) + ("2" if i % 4 < 2 else "e") for i in range(120)]
+    docs = spark.createDataFrame([(i, f"see {s} there") for i, s in enumerate([k for _, k in keys] + words)], "doc_id long, text string")
+    hit = {x["doc_id"] for x in sc.find_secrets(docs).collect() if x["random"]}
+    found = collections.Counter(k for i, (k, _) in enumerate(keys) if i in hit)
+    assert all(found[k] >= 50 for k in range(len(kinds) + 1)), found
+    assert len([i for i in hit if i >= len(keys)]) <= 12
+
+
 def brute_hits(text, items, window):
     w = dc.words_of(text)
     hit, ids = set(), set()
