@@ -4,7 +4,11 @@ The templates are a stated, fixed set. Their K-word fingerprints, winnowed over
 index; a shared passage of WINDOW + K - 1 words always holds one. Fingerprints that a document shares with a template on
 near diagonals make a candidate, for which the template is aligned with that part of the document in a band, by edit
 distance. Candidates of which at least LEAST of the template's words are matched are reported, with the
-share matched and the span; of overlapping ones that with most matched words stays.
+share matched and the span; of overlapping ones that with most matched words stays. Elsewhere, passages of a template
+with MATCHED matched words or more are reported likewise, by local alignment.
+
+Templates under SHORT words are indexed by all pairs of words, and need one of the words that no other licence's
+templates have, if there is one: other words of a notice can be replaced, but not the name of the licence.
 
 Words are runs of ASCII letters and digits and of other characters above ASCII, in lower case. Nulls and empty texts
 match nothing. Repeated rows are scanned alike. Extra columns pass through unless they are called matches.
@@ -28,6 +32,8 @@ from palimpsest.llm.license_templates import TEMPLATES
 K, WINDOW = 3, 3
 #: Share of a template's words that must be matched, and half the width of the band as a share of the template's words.
 LEAST, BAND = 0.8, 0.15
+#: Words of a passage that is reported though it is less than LEAST of the template; words from which one is winnowed.
+MATCHED, SHORT = 20, 12
 
 MATCH = T.StructType(
     [
@@ -57,9 +63,12 @@ class Templates:
         self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)] for _, text in templates]
         self.index: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
-            grams = [tuple(words[i : i + K]) for i in range(len(words) - K + 1)]
-            for i in winnow([xxhash.xxh64_intdigest(repr(g)) for g in grams], WINDOW):
+            k = 2 if len(words) < SHORT else K
+            grams = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+            for i in range(len(grams)) if k < K else winnow([xxhash.xxh64_intdigest(repr(g)) for g in grams], WINDOW):
                 self.index[grams[i]].append((t, i))
+        others = [{w for name, words in zip(self.names, self.words, strict=True) if name != own for w in words} for own in self.names]
+        self.naming = [sorted(set(words) - rest) if len(words) < SHORT else [] for words, rest in zip(self.words, others, strict=True)]
 
     def find(self, text: str | None) -> list[dict]:
         words = words_of(text)
@@ -67,15 +76,15 @@ class Templates:
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= K:
-                run = ids[a:b].tolist()
-                for i in range(len(run) - K + 1):
-                    for t, at in self.index.get(tuple(run[i : i + K]), ()):
+            run = ids[a:b].tolist()
+            for k in (2, K):
+                for i in range(len(run) - k + 1):
+                    for t, at in self.index.get(tuple(run[i : i + k]), ()):
                         hits[t].append((a + i - at, a + i))
         if not hits:
             return []
         found = [x for t, places in hits.items() for x in self._aligned(t, places, ids)]
-        found.sort(key=lambda x: (-x[2], x[0], x[3]))
+        found.sort(key=lambda x: (x[2] < LEAST * len(self.words[x[3]]), -x[2], x[0], x[3]))
         kept: list[tuple] = []
         for x in found:
             if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
@@ -97,7 +106,11 @@ class Templates:
             if cluster and diagonal - cluster[0] > band:
                 done = align(template, ids, cluster[len(cluster) // 2], band)
                 if done and done[2] >= LEAST * len(template):
-                    yield (*done, t)
+                    if not self.naming[t] or np.isin(ids[done[0] : done[1]], self.naming[t]).any():
+                        yield (*done, t)
+                elif len(template) > MATCHED:
+                    for part in passages(template, ids, cluster[len(cluster) // 2], band):
+                        yield (*part, t)
                 cluster = []
             cluster.append(diagonal)
 
@@ -133,6 +146,36 @@ def align(template: list[int], ids: np.ndarray, diagonal: int, band: int) -> tup
     return (low + start, low + end, -matched) if end > start else None
 
 
+def passages(template: list[int], ids: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int, int]]:
+    """(start, end, matched words) of the local alignments near the diagonal of MATCHED matched words or more, best first;
+    a match counts 1, and an edit -1."""
+    low = max(0, diagonal - band)
+    words = ids[low : diagonal + len(template) + band].tolist()
+    off, found = diagonal - low, []
+    while True:
+        # a cell is (score, matched, -start)
+        best, row = (0, 0, 0, 0), {}
+        for i, w in enumerate(template, 1):
+            new: dict[int, tuple[int, int, int]] = {}
+            for j in range(max(1, off + i - band), min(len(words), off + i + band) + 1):
+                score, matched, start = row.get(j - 1, (0, 0, 1 - j))
+                same = words[j - 1] == w
+                cell = (score + 1, matched + 1, start) if same else (score - 1, matched, start)
+                for near in (row.get(j), new.get(j - 1)):
+                    if near is not None and (near[0] - 1, *near[1:]) > cell:
+                        cell = (near[0] - 1, *near[1:])
+                if cell[0] > 0:
+                    new[j] = cell
+                    if (*cell, -j) > best:
+                        best = (*cell, -j)
+            row = new
+        if best[1] < MATCHED:
+            return found
+        start, end = -best[2], -best[3]
+        found.append((low + start, low + end, best[1]))
+        words[start:end] = [-2] * (end - start)
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: str = "text") -> DataFrame:
     """docs with matches, by start: array<struct<license, start, end, coverage, matched>>; code points, end exclusive."""
     ship(docs.sparkSession)

@@ -241,6 +241,29 @@ def test_license_notices(odd, none):
     assert ls.license_scan(odd).filter("size(matches) > 0").count() == 0 and ls.license_scan(none).count() == 0
 
 
+@pytest.mark.parametrize("text, license", [("Released by the MIT License.", "MIT"), ("Licensed under our MIT License.", "MIT"), ("Licensed under XX BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC XX-SA 4.0.", "CC-BY-SA-4.0")])
+def test_changed_notices(text, license):
+    (found,) = ls.Templates(ls.TEMPLATES).find(f"Preface. {text} And more.")
+    assert found["license"] == license and 0.8 <= found["coverage"] < 1
+
+
+def test_other_licenses_notices():
+    assert ls.Templates(ls.TEMPLATES).find("Licensed under the Foo License. Released under the Bar License.") == []
+
+
+def test_parts_of_licenses():
+    """Passages far below LEAST of a template are found where they stand, each for itself."""
+    known = ls.Templates(ls.TEMPLATES)
+    words = MIT.split()
+    grant, end = " ".join(words[:60]), " ".join(words[-45:])
+    (found,) = known.find(f"Own words before it. {grant} and other things come after.")
+    assert found["license"] == "MIT" and 55 <= found["matched"] <= 65 and found["coverage"] < 0.5
+    assert f"Own words before it. {grant} and"[found["start"] :].startswith("Permission is hereby granted")
+    both = known.find(f"{grant} {' '.join(f'own{i}' for i in range(50))} {end}")
+    assert [x["license"] for x in both] == ["MIT", "MIT"] and both[0]["end"] < both[1]["start"]
+    assert known.find(" ".join(words[:12])) == []
+
+
 def edit_distance_matches(a, b):
     """The least edits of a to any part of b, by the plain recurrence."""
     row = [0] * (len(b) + 1)
