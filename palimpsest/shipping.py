@@ -8,8 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-#: Rows a Python worker gets at once; texts are whole, so this bounds a worker's memory.
-ARROW_ROWS = 500
+#: Rows and bytes a Python worker gets at once; texts are whole, so a batch is one text at least.
+ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
 
 _shipped: set[str] = set()
 
@@ -17,6 +17,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't have it, and bound their batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if spark.sparkContext.applicationId in _shipped:
         return
     _shipped.add(spark.sparkContext.applicationId)
