@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import let as let
 from palimpsest.shipping import ship as ship
 
-#: Keys a "hot" side may hold. A key outside the HOT_KEYS most frequent ones has fewer than 1/HOT_KEYS of all rows.
-HOT_KEYS = 1000
+#: Keys a "hot" side may hold, and keys that the sketch which finds them tracks: a key outside the hot ones has fewer
+#: than 1/HOT_KEYS of all rows.
+HOT_KEYS, TRACKED = 1000, 20_000
 #: Rows of a side that is broadcast, counted before.
 BROADCAST_ROWS = 200_000
 
@@ -21,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share. Where the session names none, a temporary one of this machine, which
+    is right for a local master only; on any other it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,28 +49,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once: lambda bodies would otherwise evaluate it for every element."""
-    return F.transform(F.array(value), body)[0]
+def join_unevenly(left: DataFrame, right: DataFrame, key: str, n: str | None, spread: Column) -> DataFrame:
+    """left LEFT JOIN right USING (key), without right's column n, for a left side where few keys may hold most rows.
 
-
-def join_unevenly(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
-    """left LEFT JOIN right USING (key), for a left side where few keys may hold most rows.
-
-    right has one row per key, with n its number of left rows. Its HOT_KEYS most frequent rows are
-    broadcast (a fixed number of rows); the others, each under 1/HOT_KEYS of the left rows, are joined by a
-    shuffle, in which rows that already found their partner are dealt out by `spread`.
+    right has one row per key. A sketch of fixed size finds the most frequent keys of left, whether right has them or
+    not; their rows of right, at most HOT_KEYS, are broadcast. The others, each under 1/HOT_KEYS of the left rows, are
+    joined by a shuffle, in which the rows of hot keys and those without a key are dealt out by `spread`.
     """
     cols = [c for c in right.columns if c not in (key, n)]
-    top = right.orderBy(F.desc(n), key).limit(HOT_KEYS)
-    hot = top.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in cols])
-    out = left.join(F.broadcast(hot), left[key] == hot["__key"], "left")
-    out = out.withColumn("__hit", F.col("__key").isNotNull()).drop("__key")
-    cold = right.join(F.broadcast(top.select(key)), key, "left_anti").select(
-        F.col(key).alias("__key"), F.lit(False).alias("__other"), F.lit(0).cast("long").alias("__salt"), *[F.col(c).alias(f"__cold_{c}") for c in cols]
-    )
-    out = out.withColumn("__salt", F.when(F.col("__hit"), F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
-    out = out.join(cold, (out[key] == cold["__key"]) & (out["__salt"] == cold["__salt"]), "left")
+    known = F.col(key).isNotNull()
+    top = left.filter(known).select(F.xxhash64(key).alias("h")).agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {TRACKED})").alias("top"))
+    # written, as a sketch of the same rows in another order may differ
+    hot = written(top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("__hot")), "hot")
+    of_hot = right.join(F.broadcast(hot), F.xxhash64(key) == F.col("__hot"))
+    of_hot = hot.join(of_hot.select(F.col("__hot").alias("__same"), F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in cols]), F.col("__hot") == F.col("__same"), "left").drop("__same")
+    out = left.join(F.broadcast(of_hot), (F.xxhash64(key) == F.col("__hot")) & F.coalesce(F.col("__key") == F.col(key), known), "left")
+    salt = F.when(F.col("__hot").isNotNull() | ~known, F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))
+    out = out.withColumn("__h", F.xxhash64(key, salt)).drop("__hot", "__key")
+    # a hash of the key and the salt on both sides: an equality with the salt alone, a constant on the right, would be taken out of the join's keys
+    cold = right.join(F.broadcast(hot), F.xxhash64(key) == F.col("__hot"), "left_anti")
+    cold = cold.select(F.col(key).alias("__key"), F.xxhash64(key, F.lit(0).cast("long")).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in cols])
+    out = out.join(cold, (F.col(key) == F.col("__key")) & (F.col("__h") == F.col("__cold")), "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"__{c}"), F.col(f"__cold_{c}")).alias(c) for c in cols])
 
 
@@ -77,10 +81,10 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _is_small(df) else df
 
 
-def join_by_size(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
+def join_by_size(left: DataFrame, right: DataFrame, key: str, n: str | None, spread: Column) -> DataFrame:
     """left LEFT JOIN right USING (key), without n: by a broadcast if right, a written table, is small, and otherwise
     by join_unevenly(), so that no key's rows meet in one task."""
-    return left.join(F.broadcast(right.drop(n)), key, "left") if _is_small(right) else join_unevenly(left, right, key, n, spread)
+    return left.join(F.broadcast(right.drop(n) if n else right), key, "left") if _is_small(right) else join_unevenly(left, right, key, n, spread)
 
 
 def _is_small(df: DataFrame) -> bool:

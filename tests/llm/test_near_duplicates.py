@@ -112,3 +112,25 @@ def test_shuffled_joins(spark, monkeypatch, seed):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HOT_KEYS", 2)
     assert found() == by_broadcast
+
+
+@pytest.mark.parametrize("hot", [1, -1, None])
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_join_unevenly_deals_out_hot_keys(spark, hot, kind):
+    """Hot keys that the right side has, that it hasn't, and nulls: no partition gets much more than its share."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        as_kind = lambda c: c.cast("long") if kind == "long" else c.cast("string").cast("binary")
+        left = spark.range(20_000).select("id", as_kind(F.when(F.col("id") < 18_000, F.lit(hot)).otherwise(F.col("id"))).alias("k"))
+        right = spark.range(0, 20_000, 3).union(spark.range(1, 2)).distinct().select(as_kind(F.col("id")).alias("k"), F.lit(1).alias("n"), F.col("id").alias("v"))
+        out = join_unevenly(left, right, "k", "n", F.col("id"))
+        assert out.columns == ["id", "k", "v"]
+        assert max(r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("v")).collect()) < 2_500
+        found = {r["id"]: r["v"] for r in out.collect()}
+        assert found == {i: (1 if hot == 1 else None) if i < 18_000 else i if i % 3 == 0 else None for i in range(20_000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
