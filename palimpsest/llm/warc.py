@@ -5,31 +5,40 @@ WARC-Concurrent-To. Of captures with equal payloads of at least MIN_REVISIT byte
 the response, the others revisit it and hold headers only.
 
 Spark's text writer makes the archives: a record ends in two line ends, which is the writer's line separator here.
-Archives are gzip files of at most RECORDS records, in the shared folder.
+Archives are gzip files in the shared folder. Captures are written apart by the size of their payloads (SIZES), with so
+many records a file that an archive holds some 70 MB before compression, or the records of one capture of a larger page.
+
+Only narrow columns are shuffled, but for payloads with more repeated digests than a broadcast takes: which captures
+are revisits follows from digests, and assembling carries the fields of a record that are asked for.
 
 Nulls: a null html is an empty payload, a null url gives records without a target URI, captures with null page_id are
 kept and sort after all others. Repeated rows are captures of their own; of those with the smallest page_id, the first
-read is the response. Line ends in a url are percent-encoded. Empty tables give an empty archive.
+by key is the response. Line ends in a url are percent-encoded. Very long payloads are read back whole, a record at a
+time. Other columns than page_id, url and html aren't archived. Empty tables give an empty archive.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import zlib
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import join_unevenly, new_path, ship, table
+from palimpsest.llm.common import join_by_size, new_path, ship, table, written
 
 MIN_REVISIT = 100
-#: Records of one archive file, so that a reader holds little at once.
-RECORDS = 3000
+#: Bytes up to which payloads are written together, and records that one of their archives holds.
+SIZES = ((1 << 16, 3000), (1 << 20, 192), (1 << 62, 3))
 CRLF = "\r\n"
 #: Fixed, as the pages bear no time.
 WARC_DATE = "2024-01-01T00:00:00Z"
 
+#: head is the text before the payload of an HTTP message, or all of a block of fields; in other records, all is payload.
 _RECORD = T.StructType(
     [
         T.StructField("warc_type", T.StringType()),
@@ -38,28 +47,43 @@ _RECORD = T.StructType(
         T.StructField("target_uri", T.StringType()),
         T.StructField("refers_to", T.StringType()),
         T.StructField("payload_digest", T.StringType()),
+        T.StructField("head", T.StringType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload_sha256", T.StringType()),
         T.StructField("block", T.BinaryType()),
     ]
 )
+#: Fields of a part of a capture.
+FIELDS = tuple(f for f in _RECORD.fieldNames() if f != "concurrent_to")
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url and html of pages with key, which stays the same however often the rows are read: the file and the
+    place of a row of Parquet files, or else a number that is written with the rows."""
+    columns = ["page_id", F.col("url").cast("string").alias("url"), "html"]
+    try:
+        return pages.select(*columns, F.concat_ws(".", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias("key"))
+    except AnalysisException:  # no files behind these rows
+        return written(pages.select(*columns, F.monotonically_increasing_id().cast("string").alias("key")), "pages")
 
 
 def plan_revisits(pages: DataFrame) -> DataFrame:
     """pages with capture (unique), payload, payload_bytes, digest and refers_to (capture of the response, or null)."""
-    row = F.monotonically_increasing_id()
     html = F.coalesce("html", F.lit(""))
-    pages = pages.select(
+    pages = keyed(pages).select(
         "page_id",
-        F.col("url").cast("string").alias("url"),
-        row.alias("row"),
-        F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit("."), row.cast("string")).alias("capture"),
+        "url",
+        F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit("."), "key").alias("capture"),
         html.alias("payload"),
         F.octet_length(html).cast("long").alias("payload_bytes"),
         F.sha2(html, 256).alias("digest"),
     )
-    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row", "capture")
-    equal = pages.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank)["capture"].alias("first"))
-    pages = join_unevenly(pages, equal.filter("n > 1"), "digest", "n", F.col("row"))
-    return pages.withColumn("refers_to", F.when(F.col("first") != F.col("capture"), F.col("first"))).drop("first", "row")
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "capture")
+    # of payloads under MIN_REVISIT none is looked for
+    pages = pages.withColumn("repeated", F.when(F.col("payload_bytes") >= MIN_REVISIT, F.col("digest")))
+    equal = pages.filter("repeated IS NOT NULL").groupBy("repeated").agg(F.count(F.lit(1)).alias("n"), F.min(rank)["capture"].alias("first"))
+    pages = join_by_size(pages, written(equal.filter("n > 1"), "equal"), "repeated", "n", F.col("capture"))
+    return pages.withColumn("refers_to", F.when(F.col("first") != F.col("capture"), F.col("first"))).drop("first", "repeated")
 
 
 def _record(kind: Column, record_id: Column, headers: list[Column], block: Column) -> Column:
@@ -101,21 +125,27 @@ def warc_records(captures: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    (
-        warc_records(plan_revisits(pages))
-        .write.option("lineSep", CRLF * 2)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS)
-        .text(path)
-    )
+    """Archives of the pages in a new folder, path."""
+    captures = plan_revisits(pages)
+    size = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0)
+    of = functools.reduce(lambda c, k: c.when(size < SIZES[k][0], k), range(1, len(SIZES)), F.when(size < SIZES[0][0], 0))
+    there = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for k, (_, n) in enumerate(SIZES):
+        if k and there < SIZES[k - 1][0]:
+            break
+        records = warc_records(captures.filter(of == k))
+        records.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
 
 
 def _parse(content: bytes):
-    """The records of a gzip archive, one after another; inflated piece by piece."""
-    inflater, at, buffer = zlib.decompressobj(31), 0, b""
+    """(headers, block) of each record of a gzip archive, inflated piece by piece; buffers are only cut when more is
+    needed, so that many small records cost no more than their bytes."""
+    inflater, at, held, start = zlib.decompressobj(31), 0, bytearray(), 0
 
     def more() -> bool:
-        nonlocal buffer, at, inflater
+        nonlocal at, inflater, start
+        del held[:start]
+        start = 0
         while at < len(content) or inflater.unconsumed_tail:
             data = inflater.unconsumed_tail or content[at : at + (1 << 20)]
             if not inflater.unconsumed_tail:
@@ -125,30 +155,44 @@ def _parse(content: bytes):
                 at -= len(inflater.unused_data)
                 inflater = zlib.decompressobj(31)
             if got:
-                buffer += got
+                held.extend(got)
                 return True
         return False
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
+        while (end := held.find(b"\r\n\r\n", start)) < 0:
             if not more():
-                if buffer.strip():
+                if held[start:].strip():
                     raise ValueError("a WARC record breaks off in its header")
                 return
-        lines = buffer[:end].decode("utf-8").split(CRLF)
+        lines = held[start:end].decode("utf-8").split(CRLF)
         head = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
         size = int(head["content-length"])
-        while len(buffer) < end + 4 + size + 4:
+        start = end + 4
+        while len(held) < start + size + 4:
             if not more():
                 raise ValueError("a WARC record breaks off in its block")
-        yield head, buffer[end + 4 : end + 4 + size]
-        buffer = buffer[end + 8 + size :]
+        yield head, bytes(held[start : start + size])
+        start += size + 4
+
+
+def _fields(head: dict[str, str], block: bytes) -> tuple:
+    """The fields of _RECORD from head on."""
+    text, payload = None, block
+    kind = head.get("content-type", "")
+    if kind.startswith("application/http"):
+        message, _, payload = block.partition(b"\r\n\r\n")
+        text = message.decode("iso-8859-1")
+    elif kind == "application/warc-fields":
+        text, payload = block.decode("utf-8", "replace"), b""
+    return text, len(payload), hashlib.sha256(payload).hexdigest(), block
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives."""
     ship(spark)
-    schema = pa.schema([(f.name, pa.binary() if f.name == "block" else pa.string()) for f in _RECORD.fields])
+    kinds = {"block": pa.binary(), "payload_bytes": pa.int64()}
+    schema = pa.schema([(f.name, kinds.get(f.name, pa.string())) for f in _RECORD.fields])
     named = ["warc-type", "warc-record-id", "warc-concurrent-to", "warc-target-uri", "warc-refers-to", "warc-payload-digest"]
 
     def run(batches):
@@ -157,7 +201,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 held = 0
                 for head, block in _parse(content.as_py()):
-                    rows.append((*map(head.get, named), block))
+                    rows.append((*map(head.get, named), *_fields(head, block)))
                     held += len(block)
                     if held > 1 << 24:
                         yield _batch(rows)
@@ -172,34 +216,39 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, _RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One nested row a capture: request, response and metadata, joined through the identifiers they are concurrent to.
 
-    A record that is concurrent to nothing stands for its capture; parts that are missing are null.
+    A record that is concurrent to nothing stands for its capture; parts that are missing are null. Of several records
+    of one kind in a capture that with the smallest record_id is taken. Parts have the named fields; others (as the
+    blocks, where their digests will do) aren't shuffled.
     """
-    part = lambda *kinds: F.first(F.when(F.col("warc_type").isin(*kinds), F.struct("record_id", "warc_type", "target_uri", "refers_to", "payload_digest", "block")), ignorenulls=True)
-    return (
-        records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id"))
-        .agg(part("request").alias("request"), part("response", "revisit").alias("response"), part("metadata").alias("metadata"))
-    )
+    kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
+    fields = ("record_id", *[f for f in fields if f != "record_id"])
+    of = lambda part: F.when(F.col("warc_type").isin(kinds[part]), F.col("record_id"))
+    each = [F.min_by(f, of(part)).alias(f"{part}_{f}") for part in kinds for f in fields]
+    rows = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*each)
+    nested = lambda part: F.when(F.col(f"{part}_record_id").isNotNull(), F.struct(*[F.col(f"{part}_{f}").alias(f) for f in fields]))
+    return rows.select("capture_id", *[nested(part).alias(part) for part in kinds])
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_records(spark, path))
-    fields = F.decode(F.col("metadata.block"), "utf-8")
-    http = F.col("response.block")
-    # the block of headers is ASCII, so that its characters count as bytes
-    head = F.substring_index(F.decode(F.substring(http, 1, 300), "ISO-8859-1"), CRLF * 2, 1)
-    response = F.col("response.warc_type") == "response"
-    body = F.expr("substring(response.block, __head + 5, greatest(octet_length(response.block) - __head - 4, 0))")
-    return captures.withColumn("__head", F.length(head)).select(
-        F.nullif(F.regexp_extract(fields, r"page-id: (-?\d*)", 1), F.lit("")).cast("long").alias("page_id"),
-        F.when(response, F.octet_length(body)).otherwise(F.regexp_extract(head, r"Content-Length: (\d+)", 1).cast("long")).cast("long").alias("payload_bytes"),
-        F.when(response, F.sha2(body, 256)).otherwise(F.replace(F.col("response.payload_digest"), F.lit("sha256:"), F.lit(""))).alias("payload_digest"),
+    return digests(assemble(read_records(spark, path), tuple(f for f in FIELDS if f != "block")))
+
+
+def digests(captures: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of assembled captures, archives of this
+    module: a revisit's size and digest are those that its headers state."""
+    own = F.col("response.warc_type") == "response"
+    page_id = lambda text, pattern: F.regexp_extract(text, pattern, 1).try_cast("long")
+    return captures.select(
+        page_id("metadata.head", r"page-id: (-?\d*)").alias("page_id"),
+        F.when(own, F.col("response.payload_bytes")).otherwise(F.regexp_extract("response.head", r"Content-Length: (\d+)", 1).try_cast("long")).alias("payload_bytes"),
+        F.when(own, F.col("response.payload_sha256")).otherwise(F.replace(F.col("response.payload_digest"), F.lit("sha256:"), F.lit(""))).alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
-        F.regexp_extract(F.col("response.refers_to"), r"<urn:capture:(-?\d+)\.", 1).cast("long").alias("refers_to"),
+        page_id("response.refers_to", r"<urn:capture:(-?\d+)\.").alias("refers_to"),
     )
 
 

@@ -59,3 +59,50 @@ def test_parser():
     assert [len(b) for _, b in warc._parse(members)] == [0, 5, 3_000_000, 1]
     with pytest.raises(ValueError):
         list(warc._parse(gzip.compress(record(9)[:-6])))
+
+
+def test_equal_pages_without_id(spark, tmp_path):
+    written(spark, [(None, "u", PAGE, 0), (None, "u", PAGE, 0), (None, None, None, 0)], tmp_path)
+    rows = warc.op5_warc(spark, str(tmp_path)).collect()
+    assert sorted((r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows) == [("response", None, 0), ("response", None, len(PAGE)), ("revisit", None, len(PAGE))]
+
+
+def test_sizes(spark, tmp_path, monkeypatch):
+    """Large pages stand in archives of their own, of one capture each at last; repeated ones are written once."""
+    monkeypatch.setattr(warc, "SIZES", ((1000, 30), (100_000, 6), (1 << 62, 3)))
+    text = lambda i, n: "".join(chr(97 + (i * k * k) % 26) for k in range(n))
+    rows = [(i, f"http://a.example/{i}", text(i, n), 0) for i, n in enumerate([1_000_000] * 3 + [50_000] * 5 + [500] * 40)]
+    rows += [(100 + i, "", text(0, 1_000_000), 0) for i in range(5)]
+    written(spark, rows, tmp_path)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
+    most = [max(len(b) for _, b in warc._parse(f.read_bytes())) for f in (tmp_path / "warc").glob("part-*")]
+    assert sum(n > 500_000 for n in most) == 3
+    found = {r["page_id"]: r for r in warc.digests(warc.assemble(warc.read_records(spark, path))).collect()}
+    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in found.items()} == {i: (len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h, _ in rows}
+    assert {i for i, r in found.items() if r["refers_to"] == 0} == set(range(100, 105))
+
+
+def test_rows_without_files(spark):
+    """Keys of rows that no file holds are written, and so stay the same."""
+    pages = spark.createDataFrame([(i, "u", PAGE) for i in range(20)], "page_id long, url string, html string").repartition(3)
+    planned = warc.plan_revisits(pages).collect()
+    assert len({r["capture"] for r in planned}) == 20 and {r["refers_to"] for r in planned} - {None} == {r["capture"] for r in planned if r["page_id"] == 0}
+
+
+def test_assembly_without_blocks(spark, tmp_path):
+    """Blocks that aren't asked for aren't shuffled."""
+    written(spark, [(1, "u", PAGE, 0)], tmp_path)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
+    records = warc.read_records(spark, path)
+    plan = lambda fields: warc.assemble(records, fields)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "block#" in plan(warc.FIELDS) and "block#" not in plan(("head", "payload_sha256"))
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_long_heads(n):
+    """The payload begins where the header of the message ends, however long that is."""
+    header = "HTTP/1.1 200 OK\r\n" + "".join(f"X-Field-{i}: {'y' * 100}\r\n" for i in range(n))
+    head, size, digest, _ = warc._fields({"content-type": "application/http; msgtype=response"}, (header + "\r\nbody\r\n\r\nmore").encode())
+    assert (head, size, digest) == (header[:-2], 12, hashlib.sha256(b"body\r\n\r\nmore").hexdigest())
