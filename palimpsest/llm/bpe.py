@@ -1,8 +1,11 @@
 """Operator 10: byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Nulls count as empty texts; an empty text has no tokens. Repeated rows give repeated results. Extra columns pass
-through unless they bear the name of a result. Long texts are cut where a match of the splitting pattern must end, so
-that every piece is encoded as it is in the whole text.
+through unless they bear the name of a result. An empty table gives an empty result.
+
+Very long texts are cut where a match of the splitting pattern must end, so that every piece is encoded as it is in the
+whole text. Where a text has no such place for long (a run of white space, a script without spaces), or the pattern is
+one whose safe boundaries aren't known, its matches are walked and each is encoded by itself.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import ship, table
 
-#: Characters of a text that are encoded at once.
-PIECE_CHARS = 1 << 16
+#: Characters of a text that are encoded at once, and those from which on the library's own splitting isn't used: it
+#: recurses over a run of white space and ends the process on one of a million characters.
+PIECE_CHARS, WALKED_CHARS = 1 << 16, 1 << 17
 
-# A match of the pattern holds no white space after another character and never mixes letters with digits, so a match
+# A match of public_tokenizers.PATTERN holds no white space after another character and never mixes letters with digits, so a match
 # ends at each of these places whatever stands around them.
 _SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@])")
 
@@ -50,12 +54,20 @@ def encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, enc) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+def encode(text: str, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS, walked_chars: int = WALKED_CHARS) -> list[int]:
+    """The ids of the text by the ranks of a file, each match of the pattern encoded separately."""
+    enc = encoding(rank_file, pattern)
+    if len(text) <= piece_chars:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_pieces(text):
-        ids += enc.encode_ordinary(piece)
+    for piece in safe_pieces(text, piece_chars) if pattern == public_tokenizers.PATTERN else [text]:
+        if len(piece) <= walked_chars:
+            ids += enc.encode_ordinary(piece)
+        else:
+            # an encoding that doesn't split
+            whole = encoding(rank_file, "(?s:.+)")
+            for match in regex.finditer(pattern, piece):
+                ids += whole.encode_ordinary(match[0])
     return ids
 
 
@@ -71,7 +83,7 @@ def bpe_roundtrip(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
         for batch in batches:
             ids, decoded = [], []
             for t in batch.column(text).to_pylist():
-                tokens = encode(t or "", enc)
+                tokens = encode(t or "", rank_file, pattern)
                 packed = array("I", tokens)
                 if sys.byteorder == "big":
                     packed.byteswap()

@@ -9,13 +9,15 @@ Other documents are taken apart at the same kind of boundary, so that a piece th
 once for each worker. Texts with white space that this doesn't cover are encoded whole.
 
 Nulls count as empty texts, which have no tokens. Repeated rows give repeated results; extra columns pass through
-unless they bear the name of a result.
+unless they bear the name of a result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +46,18 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=4)
+def splits_as_known(path: str) -> bool:
+    """Whether no token of the file's tokenizer goes over the boundaries that are used here."""
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    pre = known.get("pre_tokenizer") or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and known["model"]["type"] == "BPE"
+    whole = not (known.get("normalizer") or known.get("truncation") or known.get("padding"))
+    plain = lambda t: not (t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s|[^\W\d_][.,;:!?]|\x01", t["content"]))
+    return bool(byte_level) and whole and all(map(plain, known.get("added_tokens", ())))
+
+
 def _boundary(text: str, at: int) -> bool:
     return 0 < at < len(text) and text[at] in " \n" and not text[at - 1].isspace()
 
@@ -108,12 +122,14 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, text: s
 
     def run(batches):
         tok = tokenizer(tokenizer_file)
-        pieces = PieceCounts(tok)
+        pieces, known = PieceCounts(tok), splits_as_known(tokenizer_file)
         for batch in batches:
             texts = pc.fill_null(batch.column(text), "")
             counts = np.zeros(len(texts), np.int64)
             huge = pc.greater(pc.utf8_length(texts), CHUNK_CHARS).to_numpy(zero_copy_only=False)
             irregular = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
+            if not known:
+                huge, irregular = np.zeros(len(texts), bool), np.ones(len(texts), bool)
             plain = np.flatnonzero(~huge & ~irregular)
             counts[plain] = pieces(texts.take(pa.array(plain)))
             for i in np.flatnonzero(huge):

@@ -81,3 +81,56 @@ def test_query_digests(spark, tmp_path, n):
     for r in rows:
         assert r["decoded_sha256"] == hashlib.sha256(b"text " * r["doc_id"]).hexdigest()
     assert len(rows) == n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("ab Zé1\n\t\x0b\x1c\x85\u00a0\u3000'sl.,!? 中😀²Ⅷ"), st.characters(codec="utf-8")), max_size=200), st.integers(1, 30))
+def test_walked_matches_encode_as_the_whole(text, size):
+    assert bpe.encode(text, RANKS, P.PATTERN, size, size) == bpe.encoding(RANKS, P.PATTERN).encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \n", "a", "1", "-", "語"])
+def test_a_million_characters_without_boundary(run):
+    text = "start " + run * (1_000_000 // len(run)) + "end"
+    ids = bpe.encode(text, RANKS, P.PATTERN)
+    assert bpe.encoding(RANKS, P.PATTERN).decode_bytes(ids) == text.encode()
+
+
+def test_another_pattern():
+    """Patterns whose safe boundaries aren't known aren't cut at those of the usual one."""
+    text, pattern = "one two 33three, " * 40, r"[a-z]+ [a-z]+|\d+[a-z]+|[\s\S]"
+    assert bpe.encode(text, RANKS, pattern, 50, 60) == bpe.encoding(RANKS, pattern).encode_ordinary(text)
+
+
+def test_query_ids(spark, tmp_path):
+    texts = {1: "Some text, 12 words.\n\n  and more", 2: "é" * 10, 3: None, 4: " " * 300_000 + "x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    for r in bpe.op10_bpe_roundtrip(spark, str(tmp_path)).collect():
+        ids = enc.encode_ordinary(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+
+
+def test_count_query(spark, tmp_path):
+    texts = {1: "Some text, 12 words.\n\n  and more", 2: "<|endoftext|>é" * 10, 3: None, 4: "many words and more, " * 4000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tok = tc.tokenizer(JSON)
+    for r in tc.op3_token_counts(spark, str(tmp_path)).collect():
+        text = texts[r["doc_id"]] or ""
+        n = len(tok.encode(text, add_special_tokens=False))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 512)
+
+
+def test_other_tokenizers(spark, tmp_path):
+    """Files whose tokens may go over the boundaries are noticed, and texts are encoded whole."""
+    import json
+
+    path = P.path("word_bpe_49k.json")
+    assert tc.splits_as_known(JSON) and not tc.splits_as_known(path)
+    known = json.loads(open(JSON, encoding="utf-8").read())
+    known["added_tokens"].append({"id": 50257, "content": "two words", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    (tmp_path / "added.json").write_text(json.dumps(known), encoding="utf-8")
+    assert not tc.splits_as_known(str(tmp_path / "added.json"))
+    tok, text = tc.tokenizer(path), "Some two words, and <|endoftext|> others.\n" * 2000
+    (row,) = tc.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect()
+    assert row["n_tokens"] == len(tok.encode(text, add_special_tokens=False))
