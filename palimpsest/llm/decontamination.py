@@ -4,19 +4,22 @@ The words of a document are streamed through the automaton, which tracks the len
 that ends at each of them. Passages of WINDOW words or more, and whole items of fewer words, are hits. Cleaning takes
 their spans out of the text and gives up a document of which they cover more than a limit.
 
-The benchmark is a stated query set: it goes through the documents in blocks of about BLOCK_WORDS words, each held by
-the workers as one automaton, and a row carries what earlier blocks found in it. No rows are shuffled.
+The benchmark is a stated query set: it goes through the documents in blocks of about BLOCK_WORDS words. A worker holds
+the automaton of one block at a time and walks the blocks for some HELD_BYTES of documents at once, so that neither its
+memory nor the number of workers grows with the benchmark. No rows are shuffled.
 
 Nulls have no words, in documents as in items; items without an id count as "". Items with the same id are one item.
-Repeated documents are treated alike. Extra columns pass through unless they bear the name of a result. An empty
-benchmark leaves all documents as they are.
+Repeated documents are treated alike; very long texts are streamed like others. Extra columns pass through unless they
+bear the name of a result. An empty benchmark leaves all documents as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ WINDOW = 10
 MAX_COVERAGE = 0.5
 #: Words of the benchmark that one automaton takes.
 BLOCK_WORDS = 200_000
+#: Bytes of documents that a worker takes through all blocks together, if there are several.
+HELD_BYTES = 64 << 20
 
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 #: Lower-cases A-Z and turns every byte that is no part of a word into a space.
@@ -143,7 +148,8 @@ class SuffixAutomaton:
 
 def _cover(spans: list[tuple[int, int]], start: int, end: int) -> None:
     while spans and start <= spans[-1][1]:
-        start = min(start, spans.pop()[0])
+        a, b = spans.pop()
+        start, end = min(start, a), max(end, b)
     spans.append((start, end))
 
 
@@ -160,23 +166,19 @@ def _blocks(benchmark: DataFrame, block_words: int):
 _built: dict[str, SuffixAutomaton] = {}
 
 
-def _automaton(block) -> SuffixAutomaton:
-    if block.bid not in _built:
-        _built.clear()
-        _built[block.bid] = SuffixAutomaton(*block.value)
-    return _built[block.bid]
-
-
 class _Block:
-    """A broadcast block with a number that workers can remember its automaton by."""
+    """A broadcast block, compressed, with a number that workers can remember its automaton by."""
 
-    def __init__(self, sc, value) -> None:
-        self.sent = sc.broadcast(value)
+    def __init__(self, sc, items: list, window: int) -> None:
+        self.sent = sc.broadcast(zlib.compress(pickle.dumps((items, window)), 1))
         self.bid = uuid.uuid4().hex
 
-    @property
-    def value(self):
-        return self.sent.value
+    def automaton(self) -> SuffixAutomaton:
+        """This block's automaton; that of the block before is forgotten first."""
+        if self.bid not in _built:
+            _built.clear()
+            _built[self.bid] = SuffixAutomaton(*pickle.loads(zlib.decompress(self.sent.value)))
+        return _built[self.bid]
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -184,36 +186,60 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("n_words", "word_spans", "items")
-    schema = T.StructType([*docs.schema.fields, *_FOUND])
-    out = docs.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _FOUND])
-    blocks = [_Block(spark.sparkContext, (items, window)) for items in _blocks(benchmark, block_words)]
-    for block in blocks or [_Block(spark.sparkContext, ([], window))]:
-        out = out.mapInArrow(_pass(block), schema)
-    return out
+    blocks = [_Block(spark.sparkContext, items, window) for items in _blocks(benchmark, block_words)]
+    return docs.mapInArrow(_through(blocks or [_Block(spark.sparkContext, [], window)]), T.StructType([*docs.schema.fields, *_FOUND]))
+
 
+def _through(blocks: list[_Block]):
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-def _pass(block: _Block):
     def run(batches):
-        automaton = _automaton(block)
-        for batch in batches:
-            counts, spans, items = [], [], []
-            for text, old_spans, old_items in zip(*(batch.column(c).to_pylist() for c in ("text", "word_spans", "items")), strict=True):
-                words = words_of(text)
-                found, hit = automaton.find(words)
-                for s in old_spans or []:
-                    found.append((s["start"], s["end"]))
-                merged: list[tuple[int, int]] = []
-                for s in sorted(found):
-                    _cover(merged, *s)
-                counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in merged])
-                items.append(sorted(hit.union(old_items or [])))
-            new = [pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field("word_spans").type), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=batch.schema.names)
+        order = list(blocks)
+        for held in _held(batches, HELD_BYTES if len(blocks) > 1 else 0):
+            texts = [t for batch in held for t in batch.column("text").to_pylist()]
+            found: list[tuple[list, set]] = [([], set()) for _ in texts]
+            counts = [0] * len(texts)
+            for block in order:
+                automaton = block.automaton()
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    spans, items = automaton.find(words)
+                    counts[i] = len(words)
+                    found[i][0].extend(spans)
+                    found[i][1].update(items)
+            # the next documents begin with the block whose automaton is at hand
+            order.reverse()
+            at = 0
+            for batch in held:
+                part = slice(at, at + len(batch))
+                at += len(batch)
+                spans = [[{"start": a, "end": b} for a, b in _merged(x)] for x, _ in found[part]]
+                new = [pa.array(counts[part], pa.int64()), pa.array(spans, span), pa.array([sorted(x) for _, x in found[part]], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in _FOUND)])
 
     return run
 
 
+def _held(batches, n_bytes: int):
+    """Lists of neighbouring batches, each list ended by the batch with which it reaches n_bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= n_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for s in sorted(spans):
+        _cover(merged, *s)
+    return merged
+
+
 def _without(text: str, spans: list[dict]) -> str:
     places = [m.span() for m in WORD.finditer(text)]
     kept, at = [], 0
