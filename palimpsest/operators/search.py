@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +127,20 @@ def search_vector(memories: DataFrame, chunks: DataFrame, query: list[float], as
     return _limit(found.orderBy(F.desc("similarity"), "id"), limit)
 
 
+#: Query vectors that are compared with all rows at once.
+QUERY_BLOCK = 1000
+
+
+def search_vectors(chunks: DataFrame, queries: DataFrame, least: float = MIN_SIMILARITY, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, memory_id, similarity) of at least that similarity, for each of queries (query_id, embedding): the best
+    of a memory's chunks. The queries go against all chunks in blocks of about `block`, each broadcast."""
+    n = max(1, -(-queries.count() // block))
+    held = chunks.filter("embedding IS NOT NULL").select("memory_id", F.col("embedding").alias("v"))
+    parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+    found = [held.crossJoin(F.broadcast(part)).groupBy("query_id", "memory_id").agg(F.max(cosine(F.col("v"), F.col("embedding"))).alias("similarity")) for part in parts]
+    return above_threshold(reduce(DataFrame.unionByName, found), least)
+
+
 def merge_hybrid(keyword: DataFrame, vector: DataFrame, limit: int | None = SEARCH_LIMIT, attach_similarity: bool = False) -> DataFrame:
     """Keyword hits and the vector hits that are none, by similarity and then the newest. Keyword hits count as of
     similarity 0 unless attach_similarity is set, and so come after all others."""

@@ -55,6 +55,13 @@ def hard_delete(memories: DataFrame, keys: DataFrame, all_versions: bool = False
     return memories.join(latest(memories).join(keys, ["ns", "key"], "left_semi").select("id"), "id", "left_anti").select(MEMORY_COLS)
 
 
+def refused(memories: DataFrame, links: DataFrame, keys: DataFrame, all_versions: bool = False) -> DataFrame:
+    """The (ns, key) of keys whose hard delete would take rows that have links."""
+    hit = (memories if all_versions else latest(memories)).join(keys.select("ns", "key").distinct(), ["ns", "key"], "left_semi")
+    ends = links.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+    return hit.join(ends, "id", "left_semi").select("ns", "key").distinct()
+
+
 def record_access(memories: DataFrame, accesses: DataFrame) -> DataFrame:
     """memories with the accesses (id, ts) counted, and the last one's time."""
     seen = accesses.groupBy("id").agg(F.count(F.lit(1)).alias("__n"), F.max("ts").alias("__last"))

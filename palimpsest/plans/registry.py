@@ -381,3 +381,6 @@ def ttl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.element_at(F.array(*[F.lit(u) for u in "dhmsx"]), (F.col("event_id") % 5 + 1).cast("int"))
     rows = views.read(spark, sf_dir, "events").select("event_id", F.concat((F.col("event_id") % 1000).cast("string"), unit).alias("ttl"))
     return rows.select("event_id", "ttl", ttl_seconds(F.col("ttl")).alias("seconds"))
+
+
+from palimpsest.plans import cases as cases  # noqa: E402  adds its queries to these
