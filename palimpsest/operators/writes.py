@@ -58,8 +58,12 @@ def hard_delete(memories: DataFrame, keys: DataFrame, all_versions: bool = False
 def refused(memories: DataFrame, links: DataFrame, keys: DataFrame, all_versions: bool = False) -> DataFrame:
     """The (ns, key) of keys whose hard delete would take rows that have links."""
     hit = (memories if all_versions else latest(memories)).join(keys.select("ns", "key").distinct(), ["ns", "key"], "left_semi")
-    ends = links.select(F.explode(F.array("from_id", "to_id")).alias("id"))
-    return hit.join(ends, "id", "left_semi").select("ns", "key").distinct()
+    return linked(hit, links).select("ns", "key").distinct()
+
+
+def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (with an id) that are an end of a link."""
+    return rows.join(links.select(F.explode(F.array("from_id", "to_id")).alias("id")), "id", "left_semi")
 
 
 def record_access(memories: DataFrame, accesses: DataFrame) -> DataFrame:

@@ -40,6 +40,10 @@ CHUNKS = _fields(
     end_line=T.IntegerType(),
     embedding=T.ArrayType(T.FloatType()),
 )
+#: The keyword index of chunks: a row for each term of a chunk, in a bucket by the term's hash; and the tokens of each
+#: memory's chunks.
+POSTINGS = _fields(term=T.StringType(), chunk_id=T.StringType(), memory_id=T.StringType(), tf=T.LongType(), dl=T.LongType(), bucket=T.IntegerType())
+LENGTHS = _fields(memory_id=T.StringType(), chunks=T.LongType(), tokens=T.LongType())
 LINKS = _fields(from_id=T.StringType(), to_id=T.StringType(), rel=T.StringType(), created_at=T.TimestampNTZType())
 PUTS = _fields(
     seq=T.LongType(),

@@ -1,8 +1,12 @@
 """A store of memories: append-only Parquet tables and a log, read as lazy DataFrames at an explicit time.
 
-A store is a folder of generations, of which the file CURRENT names one. Each holds memories (rows as put), chunks and
-log (deletions, accesses, links; see schema.LOG). Versions are resolved when rows are put, so a read only folds the log.
-There is one writer at a time; a write that finds that another came between fails before it commits.
+A store is a folder of generations, of which the file CURRENT names one. Each holds memories (rows as put), chunks, the
+keyword index of these (postings by hash of the term, and lengths) and log (puts, deletions, accesses, links; see
+schema.LOG). Versions are resolved when rows are put, so a read only folds the log.
+
+A batch of puts is a folder in each table, named after it, and counts only once the log, which is written last and as one
+file, has its line: what a write that failed has left is never read. There is one writer at a time; a write that finds
+that another came between fails before it commits.
 """
 
 from __future__ import annotations
@@ -13,12 +17,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.text import as_timestamp, parse_ttl, ttl_seconds
 from palimpsest.operators import context, reads, search, writes
 from palimpsest.operators.chunking import chunk_rows
 from palimpsest.operators.filters import live
-from palimpsest.schema import CHUNKS, LOG, MEMORIES, PUTS, RELATIONS
+from palimpsest.schema import CHUNKS, LENGTHS, LOG, MEMORIES, POSTINGS, PUTS, RELATIONS
 from palimpsest.sources import json_io
 from palimpsest.sources.embedding import Embedder, with_embedding
 
@@ -35,14 +40,15 @@ def now() -> str:
     return dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S")
 
 
+TABLES = {"memories": MEMORIES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None) -> None:
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
         if self._current() is None:
-            generation = "g0"
-            for name, schema in (("memories", MEMORIES), ("chunks", CHUNKS), ("log", LOG)):
-                spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{generation}/{name}")
-            self._point_to(generation)
+            spark.createDataFrame([], LOG).write.mode("ignore").parquet(f"{self.path}/g0/log")
+            self._point_to("g0")
 
     # files
 
@@ -59,10 +65,12 @@ class Store:
         out = fs.create(new, True)
         out.write(bytearray(generation.encode()))
         out.close()
-        _, path = self._fs(f"{self.path}/CURRENT")
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(new, path)
+        # replaces CURRENT in one step, so that there always is one
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        overwrite = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+        overwrite[0] = hadoop.Options.Rename.OVERWRITE
+        path = hadoop.Path(f"{self.path}/CURRENT")
+        hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, overwrite)
 
     def _table(self, name: str) -> str:
         return f"{self.path}/{self._current()}/{name}"
@@ -77,22 +85,36 @@ class Store:
         if self._seq() != seq:
             raise ConcurrentWrite("another write came between")
         rows = ids.select(F.lit(seq).cast("long").alias("op_seq"), F.lit(op).alias("op"), "id", as_timestamp(as_of).alias("ts"), F.lit(to_id).cast("string").alias("to_id"), F.lit(rel).cast("string").alias("rel"))
-        rows.write.mode("append").parquet(self._table("log"))
+        rows.coalesce(1).write.mode("append").parquet(self._table("log"))
 
     def _ids(self, *ids: str | None) -> DataFrame:
         return self.spark.createDataFrame([(x,) for x in ids], "id string")
 
     # state
 
+    def _committed(self, name: str) -> DataFrame:
+        """The rows of a table of those batches that the log has."""
+        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.StringType())])
+        fs, path = self._fs(self._table(name))
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], TABLES[name])
+        done = self._log().filter("op = 'put'").select(F.col("id").alias("batch"))
+        return self.spark.read.schema(schema).parquet(path.toString()).join(done, "batch", "left_semi").select(TABLES[name].fieldNames())
+
+    def _gone(self) -> DataFrame:
+        return self._log().filter("op = 'hard_delete'").select(F.col("id").alias("memory_id"))
+
     def memories(self) -> DataFrame:
         """Every row that hasn't been deleted for good, as the log has it now."""
-        rows = self.spark.read.schema(MEMORIES).parquet(self._table("memories"))
-        return writes.fold_memories(rows, self._log())
+        return writes.fold_memories(self._committed("memories"), self._log())
 
     def chunks(self) -> DataFrame:
-        rows = self.spark.read.schema(CHUNKS).parquet(self._table("chunks"))
-        gone = self._log().filter("op = 'hard_delete'").select(F.col("id").alias("memory_id"))
-        return rows.join(gone, "memory_id", "left_anti").select(CHUNKS.fieldNames())
+        return self._committed("chunks").join(self._gone(), "memory_id", "left_anti").select(CHUNKS.fieldNames())
+
+    def index(self) -> search.Index:
+        """The keyword index of chunks(). Of the postings, a search reads those of its terms."""
+        rows = lambda name: self._committed(name).join(self._gone(), "memory_id", "left_anti")
+        return search.Index(rows("postings"), rows("lengths"))
 
     def links(self) -> DataFrame:
         return writes.fold_links(self._log()).select("from_id", "to_id", "rel", "created_at")
@@ -109,17 +131,28 @@ class Store:
         if bad is not None:
             parse_ttl(bad["ttl"])
         seq = self._seq()
-        batch = f"{self.path}/_batches/{uuid.uuid4().hex}"
-        writes.put_versions(self.memories(), puts, as_of, str(seq)).write.parquet(batch)
-        rows = self.spark.read.schema(MEMORIES).parquet(batch)
-        chunks = with_embedding(chunk_rows(rows), self.embedder).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNKS.fields])
-        chunks.write.mode("append").parquet(self._table("chunks"))
-        if self._seq() != seq:
+        batch, generation = f"b{seq}-{uuid.uuid4().hex}", self._current()
+        rows = self._add(generation, "memories", batch, writes.put_versions(self.memories(), puts, as_of, str(seq)))
+        self._add_chunks(generation, batch, with_embedding(chunk_rows(rows), self.embedder))
+        if self._current() != generation:
             raise ConcurrentWrite("another write came between")
-        rows.write.mode("append").parquet(self._table("memories"))
-        self._append_log(seq, "put", self._ids(None), as_of, to_id=mark)
+        self._append_log(seq, "put", self._ids(batch), as_of, to_id=mark)
         return rows
 
+    def _add(self, generation: str, name: str, batch: str, rows: DataFrame, *by: str) -> DataFrame:
+        """Writes a batch of a table, which doesn't count yet; its rows."""
+        path = f"{self.path}/{generation}/{name}/batch={batch}"
+        rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.partitionBy(*by).parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(path)
+
+    def _add_chunks(self, generation: str, batch: str, chunks: DataFrame) -> None:
+        """Writes a batch of chunks and its part of the keyword index."""
+        chunks = self._add(generation, "chunks", batch, chunks)
+        index = search.index_of(chunks)
+        self._add(generation, "lengths", batch, index.lengths)
+        # a folder for each bucket of terms, of which a search opens those of its own
+        self._add(generation, "postings", batch, index.postings.repartition("bucket"), "bucket")
+
     def put(self, ns: str, key: str, content: str, kind: str = "", tags: Iterable[str] = (), priority: str = "", meta: str | None = None, ttl: str = "", as_of: str | None = None) -> Row:
         """One new version; its row, with the number of its chunks."""
         row = self.put_many(self.spark.createDataFrame([(0, ns, key, content, kind, list(tags), priority, meta, ttl)], PUTS), as_of)
@@ -140,7 +173,7 @@ class Store:
             if all_versions:
                 return 0
             raise NotFound(f"{ns}/{key}")
-        if hard and not reads.links_each(self.links()).join(hit, "id", "left_semi").isEmpty():
+        if hard and not writes.linked(hit, self.links()).isEmpty():
             raise ValueError(f"{ns}/{key} has links")
         self._append_log(seq, "hard_delete" if hard else "soft_delete", hit, as_of or now())
         return n
@@ -175,11 +208,11 @@ class Store:
     def compact(self) -> None:
         """Writes the state as a new generation, without what was deleted for good, and turns to it."""
         seq, generation = self._seq(), f"g{uuid.uuid4().hex}"
-        self.memories().write.parquet(f"{self.path}/{generation}/memories")
-        self.chunks().write.parquet(f"{self.path}/{generation}/chunks")
-        kept = self._log().filter("op = 'put' AND to_id IS NOT NULL")
+        self._add(generation, "memories", "whole", self.memories())
+        self._add_chunks(generation, "whole", self.chunks())
+        kept = self._log().filter("op = 'put' AND to_id IS NOT NULL").withColumn("id", F.lit(None).cast("string"))
         first = self.links().select(F.lit(seq).cast("long").alias("op_seq"), F.lit("link").alias("op"), F.col("from_id").alias("id"), F.col("created_at").alias("ts"), "to_id", "rel")
-        turned = self.spark.createDataFrame([(seq, "compact", None, None, None, None)], LOG)
+        turned = self.spark.createDataFrame([(seq, "compact", None, None, None, None), (seq, "put", "whole", None, None, None)], LOG)
         kept.unionByName(first).unionByName(turned).select(LOG.fieldNames()).write.parquet(f"{self.path}/{generation}/log")
         if self._seq() != seq:
             raise ConcurrentWrite("another write came between")
@@ -191,7 +224,7 @@ class Store:
         return reads.list_memories(self.memories(), as_of or now(), ns, kind, tags, limit)
 
     def search(self, query: str, ns: str = "", kind: str = "", limit: int = search.SEARCH_LIMIT, as_of: str | None = None) -> DataFrame:
-        return search.search(self.memories(), self.chunks(), query, as_of or now(), ns, kind, limit, self.embedder)
+        return search.search(self.memories(), self.chunks(), query, as_of or now(), ns, kind, limit, self.embedder, self.index())
 
     def context(self, query: str, ns: str = "", kind: str = "", tags: Iterable[str] = (), budget: int = context.BUDGET, as_of: str | None = None) -> DataFrame:
         """One row (budget, used, memories). Tags are taken and, as ever, don't filter."""
