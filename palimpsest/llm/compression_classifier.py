@@ -4,14 +4,15 @@ Two zstandard dictionaries are built from texts labelled good and bad. A text is
 difference of the sizes over their sum, which is above 0 for a text nearer to the good ones, becomes a score by
 logistic calibration on labelled texts that the dictionaries have not seen.
 
-Labels are read from the rows that fit() is given, of which it takes a bounded sample: FIT_DOCS documents a class for
-the dictionaries and as many for the calibration, in the order of a hash of the doc_id, and of these PIECES pieces a
-class. Scoring reads whole texts.
+Labels are read from the rows that fit() is given, of which it takes a bounded sample: fit_docs documents a class for
+the dictionaries and as many for the calibration, in the order of a hash of the doc_id, and of these `pieces` pieces a
+class. Scoring reads whole texts, very long ones piece by piece.
 
 Null and empty texts are scored as empty ones: nothing tells them apart but their length, and the calibration is fed
 with the empty texts among the labelled ones. Without labels of both classes every score is 0.5. Repeated
-rows are scored alike, and a document whose labels differ counts for both. Extra columns pass through unless they bear
-the name of a result.
+rows are scored alike, and a document whose labels differ counts for both; of rows that share a labelled doc_id as many
+are used as the sample holds. A score of just 0.5 predicts 1. Extra columns pass through unless they bear the name of a
+result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,23 +78,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return [float(w[0] - (w[1:] * mean / scale).sum()), *(w[1:] / scale).tolist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS, pieces: int = PIECES) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id and a label of 0 or 1); None without both classes."""
     ship(docs.sparkSession)
     of_hash = F.xxhash64(F.lit("fit"), "doc_id")
     classes = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").distinct()
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
-    parts = [classes.filter((F.col("y") == y) & (half == h)).withColumn("half", F.lit(h)).orderBy(of_hash, "doc_id").limit(FIT_DOCS) for y in (0, 1) for h in (0, 1)]
+    parts = [classes.filter((F.col("y") == y) & (half == h)).withColumn("half", F.lit(h)).orderBy(of_hash, "doc_id").limit(fit_docs) for y in (0, 1) for h in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    # at most 4 * FIT_DOCS rows of two integers
+    # at most 4 * fit_docs rows of two integers
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(FIT_CHARS)))
     cut = texts.filter("half = 0 AND text <> ''").select("y", "text", start.alias("at")).select("y", F.expr(f"substring(text, at, {FIT_CHARS})").alias("piece"))
-    by_class = {y: [r["piece"].encode() for r in cut.filter(F.col("y") == y).orderBy(F.xxhash64("piece"), "piece").limit(PIECES).collect()] for y in (0, 1)}
+    by_class = {y: [r["piece"].encode() for r in cut.filter(F.col("y") == y).orderBy(F.xxhash64("piece"), "piece").limit(pieces).collect()] for y in (0, 1)}
     if not by_class[0] or not by_class[1]:
         return None
     model = Model((_train(by_class[1]), _train(by_class[0])))
-    rows = _measured(texts.filter("half = 1").select("y", "text"), model).select("y", F.col("__x").alias("x")).collect()
+    half = texts.filter("half = 1").select("y", "text")
+    rows = [r for y in (0, 1) for r in _measured(half.filter(F.col("y") == y).orderBy(F.xxhash64("text"), "text").limit(fit_docs), model).select("y", F.col("__x").alias("x")).collect()]
     x, y = np.array([r["x"] for r in rows]).reshape(-1, 2), np.array([r["y"] for r in rows], float)
     if 0 < y.sum() < len(y):
         model.weights = _logistic(x, y)

@@ -11,7 +11,9 @@ Templates under SHORT words are indexed by all pairs of words, and need one of t
 templates have, if there is one: other words of a notice can be replaced, but not the name of the licence.
 
 Words are runs of ASCII letters and digits and of other characters above ASCII, in lower case. Nulls and empty texts
-match nothing. Repeated rows are scanned alike. Extra columns pass through unless they are called matches.
+match nothing; very long texts are read whole. Repeated rows are scanned alike. Extra columns pass through unless they
+are called matches. Of two templates that match equally many words of one passage the first counts. An empty table gives
+an empty result. The given templates are licences' texts or the notices that refer to them; others can be passed.
 """
 
 from __future__ import annotations
