@@ -39,12 +39,13 @@ def let(value: Column, body) -> Column:
 
 
 def fold_token(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, without accents; ASCII texts, which have none, aren't gone through for them."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(F.lower(text), ACCENTED, PLAIN))
 
 
 def tokens(text: Column) -> Column:
     """The search tokens of a text, in order: letters and digits in lower case, without accents."""
-    return F.filter(F.split(fold_token(text), BETWEEN_TOKENS), lambda t: t != "")
+    return F.array_remove(F.split(fold_token(text), BETWEEN_TOKENS), "")
 
 
 def query_terms(query: str) -> list[str]:

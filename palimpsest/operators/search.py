@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import as_timestamp, fold_token, julian_day, let, like_substring, query_terms, round_half_away, tokens
+from palimpsest.functions.text import as_timestamp, fold_token, julian_day, like_substring, query_terms, round_half_away, tokens
 from palimpsest.operators.filters import visible
 from palimpsest.schema import MEMORY_COLS
 
@@ -104,9 +104,9 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
 
 def _term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """(chunk_id, memory_id, dl, tf0, tf1...): the tokens of each chunk, and those that are the terms."""
-    of = lambda words, term: F.size(F.filter(words, lambda w: w == term)).cast("double")
-    counted = let(tokens(F.col("text")), lambda words: F.struct(F.size(words).cast("double").alias("dl"), *[of(words, t).alias(f"tf{i}") for i, t in enumerate(terms)]))
-    return chunks.select(F.col("id").alias("chunk_id"), "memory_id", counted.alias("counted")).select("chunk_id", "memory_id", "counted.*")
+    words = chunks.select(F.col("id").alias("chunk_id"), "memory_id", tokens(F.col("text")).alias("words"))
+    n, others = F.size("words"), lambda term: F.size(F.array_remove("words", term))
+    return words.select("chunk_id", "memory_id", n.cast("double").alias("dl"), *[(n - others(t)).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
 def _bm25_part(tf: Column, df: Column) -> Column:
