@@ -52,7 +52,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def join_unevenly(left: DataFrame, right: DataFrame, key: str, n: str | None, spread: Column) -> DataFrame:
     """left LEFT JOIN right USING (key), without right's column n, for a left side where few keys may hold most rows.
 
-    right has one row per key. A sketch of fixed size finds the most frequent keys of left, whether right has them or
+    right has one row per key, and is read twice: a written table, or cheap. A sketch of fixed size finds the most frequent keys of left, whether right has them or
     not; their rows of right, at most HOT_KEYS, are broadcast. The others, each under 1/HOT_KEYS of the left rows, are
     joined by a shuffle, in which the rows of hot keys and those without a key are dealt out by `spread`.
     """

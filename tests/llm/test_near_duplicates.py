@@ -60,6 +60,50 @@ def test_large_group_of_near_copies(spark):
     assert {x["doc_id"]: x["component_id"] for x in rows} == {i: low for i, (_, low) in expected.items()}
 
 
+@pytest.mark.parametrize("met, block", [(3, 4), (250, 500)])
+def test_blocks(spark, monkeypatch, met, block):
+    """Documents with many partners and shingles of many classes go through blocks, with the same links; candidates of a
+    class of near copies grow with its members, not with their pairs."""
+    monkeypatch.setattr(ngram_join, "MET", met)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(9)
+    base, verified = [f"w{i}" for i in range(60)], []
+    docs = [(i, " ".join(base + [f"tail{i}"])) for i in range(80)]
+    # a passage that makes up most of what 60 documents of different classes index
+    passage = [f"p{i}" for i in range(14)]
+    docs += [(200 + i, " ".join(passage + [f"x{r.randrange(9)}" for _ in range(4)])) for i in range(60)]
+    plain = ngram_join._verified
+
+    def counted(pairs, some):
+        verified.append(pairs.count())
+        return plain(pairs, some)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    rows = ngram_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in rows} == {i: low for i, (_, low) in brute(docs).items()}
+    assert verified[0] <= len(docs)
+
+
+def test_suffix_filter():
+    """No linking pair is filtered out, whatever the sizes; unrelated long texts are."""
+    r = random.Random(11)
+    for n in (1, 7, 300, 1279, 1281, 5000, 40_000):
+        base = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]
+        near = base[: len(base) - n // 9] + [f"x{i}" for i in range(n // 20)]
+        a, b, c = (ngram_join.shingles(" ".join(x)) for x in (base, near, [f"y{i}" for i in range(n + 4)]))
+        both = len(set(a.tolist()) & set(b.tolist()))
+        assert 100 * both >= 75 * (len(a) + len(b) - both) and ngram_join._may_overlap(ngram_join._parts(a), ngram_join._parts(b))
+        assert n < 300 or not ngram_join._may_overlap(ngram_join._parts(a), ngram_join._parts(c))
+
+
+def test_repeated_ids_of_other_texts(spark):
+    """Rows that share a doc_id are one document, linked by any of its texts."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    docs = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " x"), (4, text("c"))]
+    rows = ngram_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_odd(odd):
     rows = ngram_join.jaccard_classes(odd).collect()
     assert len(rows) == 9
