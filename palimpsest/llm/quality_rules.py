@@ -2,16 +2,19 @@
 
 Minimum-covariance-determinant estimates per language and source: from several starts, concentration steps take the
 nearer half of a group's documents and compute their mean and covariance again until its determinant falls no more; the
-start of the least determinant counts. A document is rejected if its statistics, transformed, are further away than
+start of the least determinant counts. From the documents near it by that estimate, the mean and the covariance are
+computed once more (the usual reweighting), as half of a small group varies much by chance. A document is rejected if its statistics, transformed, are further away than
 CUTOFF by the squared Mahalanobis distance. Documents of groups with too few are judged by the estimate over all
 documents of their language, or over all there are. (outliers() by default takes a fixed number of steps from one start
-on three quarters; quality_rules() doesn't.)
+on three quarters; quality_rules(), and so the query and the pipeline, takes the reweighted least determinant.)
 
 Every statistic has a least scale, which bounds its variance below, so that a group in which it never varies still has
 an invertible covariance.
 
 Null and empty texts have no words, and fail the base rules; null languages and sources count as empty ones. Repeated
-rows are judged alike and count as often as they come. Extra columns pass through.
+rows are judged alike and count as often as they come. Very long texts are read whole; the arrays of their words are the
+largest things held. Extra columns pass through, but for the text and those that bear the name of a result. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +37,14 @@ CUTOFF = 23.51
 #: Share of a group that the least-determinant estimate rests on, 0.5 / P(chi2 with 6 df <= its 0.5 quantile with 4 df),
 #: and the part by which a determinant must fall to go on; below it are the errors of the approximate quantiles.
 HALF, HALF_CONSISTENCY, FALLS = 0.5, 2.109, 1e-3
+#: The chi-squared quantile for 4 degrees of freedom at 0.975, within which rows count again, and its consistency factor.
+NEAR, NEAR_CONSISTENCY = 11.143, 1.0648
+#: What distances are too large by in groups of n rows, times n: measured on normal rows, for either estimate.
+HALF_SMALL, NEAR_SMALL = 9, 20
 #: The transformed statistics, and the least scale of each.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.12, "x_lines": 0.12, "x_repeats": 0.12}
+#: What text_statistics() adds.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -51,7 +60,9 @@ def _n_repeat_words(words: Column) -> Column:
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words."""
+    """docs with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words, which take the place of
+    columns of these names."""
+    docs = docs.drop(*STATISTICS)
     whole = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim(whole, F.lit(_SPACE))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
@@ -125,7 +136,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     grp = F.when(own, F.col("key_")).when(of_lang, F.col("lang_")).otherwise(F.lit("a"))
     judging = [F.when(own, F.col("key_")), F.when(of_lang & (F.col("least_") < LEAST), F.col("lang_")), F.when(F.col("least_lang") < LEAST, F.lit("a"))]
     groups = n.join(by_lang, "lang_").crossJoin(F.broadcast(whole)).select("key_", "n", grp.alias("grp"), F.array_compact(F.array(*judging)).alias("levels"))
-    return join_by_size(rows.withColumn("key_", key), written(groups, "groups"), "key_", "n", F.xxhash64(*rows.columns)).drop("key_")
+    return join_by_size(rows.withColumn("key_", key), written(groups, "groups"), "key_", "n", _spread()).drop("key_")
 
 
 def _two_steps(members: DataFrame) -> DataFrame:
@@ -174,9 +185,25 @@ def least_determinant(members: DataFrame) -> DataFrame:
     return written(reduce(DataFrame.unionByName, ended).groupBy(F.col("of").alias("grp")).agg(F.min_by(F.struct("n", "est"), "det").alias("v")).select("grp", "v.n", "v.est"), "estimate")
 
 
+def reweighted(members: DataFrame) -> DataFrame:
+    """grp, n and est: the mean and covariance of the rows that are near by the least-determinant estimate."""
+    raw = least_determinant(members)
+    rows = _with_values(members, raw.select("grp", "n", F.struct("est", "n").alias("by")))
+    near = rows.withColumn("est", F.col("by.est")).filter(_distance("est") <= NEAR * (1 + HALF_SMALL / F.col("by.n")))
+    done = _moments(near.select("grp", *FEATURES), NEAR_CONSISTENCY).drop("n").join(raw.select("grp", "n"), "grp")
+    grown = F.sqrt(1 + NEAR_SMALL / F.col("n"))
+    scale = [(F.col(f"est.{c}") * (grown if c.startswith("l") else 1)).alias(c) for c in done.schema["est"].dataType.fieldNames()]
+    return written(done.select("grp", "n", F.struct(*scale).alias("est")), "estimate")
+
+
 def _with_values(rows: DataFrame, values: DataFrame) -> DataFrame:
     """rows with the values of their grp."""
-    return join_by_size(rows, values, "grp", "n", F.xxhash64(*FEATURES))
+    return join_by_size(rows, values, "grp", "n", _spread())
+
+
+def _spread() -> Column:
+    """What deals out rows, of written tables: their places, as equal rows have equal values."""
+    return F.monotonically_increasing_id()
 
 
 def outliers(rows: DataFrame, cutoff: float = CUTOFF, estimate=_two_steps, consistency: float = CONSISTENCY) -> DataFrame:
@@ -184,24 +211,49 @@ def outliers(rows: DataFrame, cutoff: float = CUTOFF, estimate=_two_steps, consi
 
     estimate gives the means and Cholesky factors, by whose distances divided by consistency rows are judged."""
     keep = [c for c in rows.columns if c not in ("distance", "outlier")]
-    rows = written(_grouped(rows.select(*keep).withColumns(_features())), "features")
+    # what a row came with stays apart, whatever the names of its columns
+    rows = rows.select(F.struct(*keep).alias("row_"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *[x.alias(name) for name, x in _features().items()])
+    rows = written(_grouped(written(rows, "features")), "grouped")
     est = estimate(rows.select(F.explode("levels").alias("grp"), *FEATURES))
     judged = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     est = written(judged.join(est.drop("n"), "grp"), "judging")
-    rows = join_by_size(rows, est, "grp", "n", F.xxhash64(*keep)).withColumn("distance", _distance("est") / consistency)
-    return rows.withColumn("outlier", F.col("distance") > cutoff).select(*keep, "distance", "outlier")
+    rows = join_by_size(rows, est, "grp", "n", _spread()).withColumn("distance", _distance("est") / consistency)
+    return rows.withColumn("outlier", F.col("distance") > cutoff).select(*[F.col("row_").getField(c).alias(c) for c in keep], "distance", "outlier")
+
+
+def _with_base(docs: DataFrame) -> DataFrame:
+    rows = text_statistics(docs.drop("base_failed", "distance", "outlier", "kept")).drop("text")
+    return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance and kept, for each row of docs."""
-    rows = text_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    rows = written(rows, "statistics")
-    judged = outliers(rows.filter(~F.col("base_failed")), CUTOFF, least_determinant, 1.0).withColumn("kept", ~F.col("outlier"))
+    """docs without the text, with the statistics, base_failed, distance and kept."""
+    rows = written(_with_base(docs), "statistics")
+    judged = outliers(rows.filter(~F.col("base_failed")), CUTOFF, reweighted, 1.0).withColumn("kept", ~F.col("outlier"))
     failed = rows.filter("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
     return judged.drop("outlier").unionByName(failed)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality_rules(table(spark, sf_dir, "documents"))
+    done = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+BASE_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality_rules but for the verdict, which SQL can express."""
+    return _with_base(table(spark, sf_dir, "documents").select("doc_id", "text")).select(BASE_COLUMNS)
+
+
+BASE_ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+    grams AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 0) + 1)) AS i FROM d)),
+    twice AS (SELECT doc_id, i FROM grams JOIN (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+    covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY doc_id),
+    s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s
+"""

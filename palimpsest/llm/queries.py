@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontamination, line_dedup, ngram_join, warc
+from palimpsest.llm import decontamination, line_dedup, ngram_join, quality_rules, secrets, warc
 from palimpsest.llm.bpe import op10_bpe_roundtrip
 from palimpsest.llm.compression_classifier import op6_compression_classifier
 from palimpsest.llm.license_scan import op7_license_scan
-from palimpsest.llm.quality_rules import op9_quality_rules
-from palimpsest.llm.secrets import op2_secret_scan
 from palimpsest.llm.token_counts import op3_token_counts
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
-    "op2_secret_scan": op2_secret_scan,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_warc": warc.op5_warc,
     "op6_compression_classifier": op6_compression_classifier,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": decontamination.op8_decontamination,
-    "op9_quality_rules": op9_quality_rules,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
+    # parts of operators 2 and 9, for the sake of their SQL
+    "secret_patterns": secrets.secret_patterns,
+    "quality_statistics": quality_rules.quality_statistics,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "secret_patterns": secrets.BASE_ORACLE,
+    "quality_statistics": quality_rules.BASE_ORACLE,
 }

@@ -282,14 +282,23 @@ def reported_to(tested: DataFrame, fdr: float = FDR) -> dict[str, int]:
     return {r["family"]: r["bin"] for r in found.collect()}
 
 
+def _base(whole: Column) -> Column:
+    """The spans of all patterns, in order."""
+    return F.array_sort(F.concat(*[_ordered(_spans(whole, *KINDS[kind], kind), i) for i, kind in enumerate(KINDS)]))
+
+
+def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs (without the text) with base: the spans that patterns give, by start and then kind."""
+    others = [c for c in docs.columns if c not in (text, "base")]
+    return docs.select(*others, _base(F.coalesce(F.col(text), F.lit(""))).alias("base"))
+
+
 def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     """docs (without the text) with base and random: arrays of spans, each by start and then kind."""
-    order = {kind: i for i, kind in enumerate(KINDS)}
     whole = F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c not in (text, "base", "random")]
-    found = [_ordered(_spans(whole, *KINDS[kind], kind), i) for kind, i in order.items()]
     candidates = _spans(whole, CANDIDATE, 0, 20, "random")
-    rows = written(docs.select(*others, F.array_sort(F.concat(*found)).alias("base"), _tested(candidates).alias("__tested")), "secrets")
+    rows = written(docs.select(*others, _base(whole).alias("base"), _tested(candidates).alias("__tested")), "secrets")
     to_bin = reported_to(rows.select(F.explode("__tested").alias("t")).select("t.family", "t.bin"), fdr)
     limits = F.create_map(*[F.lit(v) for pair in to_bin.items() for v in pair]) if to_bin else F.create_map().cast("map<string,int>")
     stands = F.filter("__tested", lambda x: x["bin"] <= F.coalesce(F.element_at(limits, x["family"]), F.lit(-1)))
@@ -305,14 +314,33 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _base_columns(found: DataFrame) -> DataFrame:
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
-    return found.select(
-        "doc_id",
-        n("assign").alias("n_assign"),
-        n("access").alias("n_access"),
-        n("hex").alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("base", "random"))).alias("spans"),
-    )
+    return found.withColumns({"n_assign": n("assign"), "n_access": n("access"), "n_hex": n("hex"), "base_sha256": F.sha2(_joined(F.col("base")), 256)})
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _base_columns(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _joined(F.array_sort(F.concat("base", "random"))).alias("spans"))
+
+
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_secret_scan that patterns alone give, which SQL can express."""
+    return _base_columns(find_base(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _spans_sql(kind: str, order: int) -> str:
+    pattern, group, least = KINDS[kind]
+    regex = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS ord, len(g) AS size, CAST(list_sum(list_transform(gaps[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: len(x))), 0) AS BIGINT) AS start, len(m) AS n, {least} AS least
+    FROM (SELECT doc_id, found, gaps, unnest(found) AS m, unnest(groups) AS g, generate_subscripts(found, 1) AS k
+          FROM (SELECT doc_id, regexp_extract_all(t, {regex}, 0) AS found, regexp_extract_all(t, {regex}, {group}) AS groups, regexp_split_to_array(t, {regex}) AS gaps FROM d))"""
+
+
+BASE_ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    spans AS ({" UNION ALL ".join(_spans_sql(kind, i) for i, kind in enumerate(KINDS))}),
+    kept AS (SELECT doc_id, kind, kind || ':' || start || ':' || (start + n) AS s, start, ord FROM spans WHERE size >= least),
+    joined AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(s, ',' ORDER BY start, ord) AS s FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256 FROM d LEFT JOIN joined USING (doc_id)
+"""

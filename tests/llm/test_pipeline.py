@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         kept[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert name == "tokens" or docs.columns == corpus_pipeline.COLUMNS
+        assert name == "tokens" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert kept["quality"] == set(range(30)) | {100, 101, 104}
     assert kept["lines"] == kept["quality"]
     # 101 has 41 of 54 shingles in common with 4
@@ -29,6 +29,34 @@ def test_stages(spark, tmp_path):
     assert texts[104] == own("q") + " \n\n" + own("r") + own("s")
 
 
+def test_odd_rows(spark, tmp_path):
+    """Rows without doc_id and rows that share one are judged each by itself; extra columns stay, whatever their names."""
+    own = lambda k: " ".join(f"{a}{k}" for a in "many words of its own that make this document differ from all the others here today and more".split())
+    rows = [(i, own(i) + "\n" + own(f"z{i}"), "en", "s1", 5, "x", 1) for i in range(20)]
+    rows += [(None, "too short", "en", "s1", 0, "x", 1), (None, own("n") + "\n" + own("m"), "en", "s1", 5, "y", 2), (None, own("n") + "\n" + own("m"), "en", "s1", 5, "y", 2)]
+    rows += [(3, "too short", "en", "s1", 0, "x", 1), (4, rows[4][1], "en", "s1", 5, "z", 3), (50, own("n") + "\n" + own("m"), "en", "s1", 5, "w", 1), (51, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, items string, n_words int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing that any document has")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[1]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted(map(tuple, docs.collect()), key=key)
+        assert docs.dtypes == spark.createDataFrame([], schema).dtypes
+    assert kept["quality"] == kept["lines"] == sorted([*rows[:20], rows[21], rows[22], rows[24], rows[25]], key=key)
+    left = kept["near_duplicates"]
+    assert [r[0] for r in left] == [*range(20), 50] and left[-1] == rows[25]
+    assert kept["decontamination"] == left
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
