@@ -18,6 +18,7 @@ piece unless they bear the name of a result; the text isn't. An empty table give
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
@@ -37,12 +38,11 @@ WINDOW, END_ID = 2048, 1
 PADDING = 16
 GROUP_DOCS, GROUP_BYTES = 8192, 32 << 20
 #: Distinct strings whose ids a worker remembers, and bytes of ids in one batch of results.
-REMEMBERED, BATCH_BYTES = 400_000, 16 << 20
+REMEMBERED, BATCH_BYTES = 800_000, 16 << 20
 
 # ASCII and Latin letters that are as they are in NFC and have one lower-case letter, then punctuation: two tokens' worth of text that no rule of the
 # tokenizer joins. The apostrophe isn't in it, as "'s" is a word.
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
-_SPACE = re.compile("[ \t\n\r]+")
 
 
 @functools.lru_cache(maxsize=4)
@@ -54,7 +54,8 @@ def _end_of_word(path: str) -> np.ndarray | None:
     before = (known.get("pre_tokenizer") or {}).get("pretokenizers", ())
     words = len(before) == 2 and before[0]["type"] == "Split" and before[0]["behavior"] == "Removed" and before[0]["invert"] and before[0]["pattern"] == {"Regex": _WORDS} and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"]
     model = known["model"]
-    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s|[A-Za-z][!-&(-/:-@\[-`{-~]*$", t["content"]) for t in known.get("added_tokens", ()))
+    # no special string is part of what _PLAIN takes
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) or _PLAIN.fullmatch("a" + t["content"]) for t in known.get("added_tokens", ()))
     if steps != ["NFC", "Replace", "Lowercase"] or not words or not plain or model["type"] != "BPE" or not model.get("end_of_word_suffix") or known.get("truncation") or known.get("padding"):
         return None
     ends = np.zeros(max(model["vocab"].values()) + 1, bool)
@@ -66,76 +67,112 @@ def _end_of_word(path: str) -> np.ndarray | None:
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class _Numbers(dict):
+    """Numbers strings as they come; fresh are those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, string):
+        self[string] = n = len(self)
+        self.fresh.append(string)
+        return n
+
+
+class _Slices:
+    """Slices of an array of ids, by number."""
+
+    def __init__(self) -> None:
+        self.first, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, first: np.ndarray, size: np.ndarray) -> None:
+        end = self.n + len(first)
+        if end > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(max(len(x), end), np.int64)]) for x in (self.first, self.size))
+        self.first[self.n : end], self.size[self.n : end], self.n = first, size, end
+
+
 class Ids:
-    """Ids of texts, by those of their white-space separated strings."""
+    """Ids of texts, by those of their white-space separated strings; these by those of a word and what follows it."""
 
     def __init__(self, path: str) -> None:
         self.tok, self.ends = tokenizer(path), _end_of_word(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.strings, self.parts, self.of_strings, self.of_parts = _Numbers(), _Numbers(), _Slices(), _Slices()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.first: list[int] = []
-        self.size: list[int] = []
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if self.ends is None:
             return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
-        strings = [[s for s in _SPACE.split(t) if s] for t in texts]
-        self._learn({s for each in strings for s in each})
-        first, size = np.array(self.first, np.int64), np.array(self.size, np.int64)
-        out = []
-        for each in strings:
-            at = np.fromiter(map(self.place.__getitem__, each), np.int64, len(each))
-            n = size[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(n) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(first[at] - (ends - n), n)])
-        return out
-
-    def _add(self, string: str, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.place[string] = len(self.first)
-        self.first.append(self.used)
-        self.size.append(len(ids))
-        self.used += len(ids)
-
-    def _known(self, string: str) -> np.ndarray:
-        i = self.place[string]
-        return self.flat[self.first[i] : self.first[i] + self.size[i]]
-
-    def _learn(self, strings: set[str]) -> None:
-        if len(self.place) > REMEMBERED:
+        if len(self.strings) > REMEMBERED:
             self._forget()
-        new = [s for s in strings if s not in self.place]
-        parts = {s: m for s in new if (m := _PLAIN.fullmatch(s))}
-        words = {m[1].lower() for m in parts.values()} - self.place.keys()
-        rest = ({m[2] for m in parts.values()} - {""} | {s for s in new if s not in parts}) - self.place.keys()
-        self._learn_words(sorted(words))
-        rest = sorted(rest)
-        for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            for s, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._add(s, np.array(e.ids, np.uint32))
-        for s, m in parts.items():
-            if s not in self.place:
-                word = self._known(m[1].lower())
-                self._add(s, np.concatenate([word, self._known(m[2])]) if m[2] else word.copy())
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Many words at a time; each ends with the id of a word's end."""
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        strings = [t.encode().split() for t in texts]
+        counts = np.fromiter(map(len, strings), np.int64, len(strings))
+        each = np.fromiter(map(self.strings.__getitem__, itertools.chain.from_iterable(strings)), np.int64, int(counts.sum()))
+        self._learn()
+        ids, ends = self._gather(self.of_strings.first[each], self.of_strings.size[each])
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return [ids[a:b] for a, b in itertools.pairwise(edges.tolist())]
+
+    def _gather(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slices one after another, and where each ends."""
+        ends = np.cumsum(size)
+        return self.flat[np.arange(int(size.sum())) + np.repeat(first - (ends - size), size)], ends
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where ids begin, once they are kept."""
+        first, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[first : self.used] = ids
+        return first
+
+    def _learn(self) -> None:
+        fresh, number = self.strings.fresh, self.parts.__getitem__
+        pairs = np.full((len(fresh), 2), -1, np.int64)
+        for i, s in enumerate(fresh):
+            string = s.decode()
+            m = _PLAIN.fullmatch(string)
+            pairs[i, 0] = number(m[1].lower() if m else string)
+            if m and m[2]:
+                pairs[i, 1] = number(m[2])
+        fresh.clear()
+        self._learn_parts()
+        first, size = self.of_parts.first[pairs], np.where(pairs < 0, 0, self.of_parts.size[pairs])
+        # a string of two parts gets their ids next to each other
+        two = np.flatnonzero(pairs[:, 1] >= 0)
+        ids, _ = self._gather(first[two].ravel(), size[two].ravel())
+        total = size.sum(axis=1)
+        at = self._keep(ids)
+        first[two, 0] = at + np.cumsum(total[two]) - total[two]
+        self.of_strings.add(first[:, 0], total)
+
+    def _learn_parts(self) -> None:
+        fresh = self.parts.fresh
+        word = np.fromiter(((m := _PLAIN.fullmatch(s)) is not None and not m[2] for s in fresh), bool, len(fresh))
+        first, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        places = np.flatnonzero(word)
+        for k in range(0, len(places), 2000):
+            # many words at a time; each ends with the id of a word's end
+            some = places[k : k + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([fresh[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the tokenizer takes words apart in another way than its file says")
-            for s, part in zip(some, np.split(ids, ends[:-1]), strict=True):
-                self._add(s, part)
+            starts = np.concatenate([[0], ends[:-1]])
+            first[some], size[some] = self._keep(ids) + starts, ends - starts
+        places = np.flatnonzero(~word)
+        for k in range(0, len(places), 4096):
+            some = places[k : k + 4096]
+            found = [e.ids for e in self.tok.encode_batch_fast([fresh[i] for i in some], add_special_tokens=False)]
+            size[some] = n = np.fromiter(map(len, found), np.int64, len(found))
+            first[some] = self._keep(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum()))) + np.cumsum(n) - n
+        fresh.clear()
+        self.of_parts.add(first, size)
 
 
 class OpenWindows:
