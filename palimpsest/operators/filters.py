@@ -31,7 +31,10 @@ def matching(memories: DataFrame, ns: str | None = None, kind: str | None = None
 
 
 def latest(memories: DataFrame) -> DataFrame:
-    """The live row of the highest version of each key, expired or not: an expired top version hides its key."""
+    """The live row of the highest version of each key, expired or not: an expired top version hides its key. Rows of a
+    store know by `covered` whether a live row supersedes them, so that nothing is ranked."""
+    if "covered" in memories.columns:
+        return memories.filter(live() & ~F.col("covered"))
     top = W.partitionBy("ns", "key").orderBy(F.desc("version"), "id")
     return memories.filter(live()).withColumn("__rank", F.row_number().over(top)).filter("__rank = 1").drop("__rank")
 

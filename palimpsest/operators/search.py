@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,43 +43,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term", "chunk_id", "memory_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_id", "memory_id", "tf", "dl")
 
 
-#: Buckets of terms in a stored index.
-BUCKETS = 64
+def bm25_by_index(index, query: str) -> DataFrame:
+    """What bm25() gives, by a stored index (operators/indexed.py)."""
+    from palimpsest.operators import indexed
 
-
-class Index(NamedTuple):
-    """The stored keyword index of chunks: postings (schema.POSTINGS) and lengths (schema.LENGTHS)."""
-
-    postings: DataFrame
-    lengths: DataFrame
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def index_of(chunks: DataFrame) -> Index:
-    """The index of chunks, to be written."""
-    size = F.size(tokens(F.col("text"))).cast("long")
-    lengths = chunks.groupBy("memory_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(size).alias("tokens"))
-    return Index(postings(chunks).withColumn("bucket", _bucket(F.col("term"))), lengths)
-
-
-def bm25_by_index(index: Index, query: str) -> DataFrame:
-    """What bm25() gives, from the postings of the query's terms."""
-    terms = query_terms(query)
-    if not terms:
-        return index.postings.select("chunk_id", "memory_id", F.lit(0.0).alias("bm25")).limit(0)
-    spark = index.postings.sparkSession
-    buckets = [r["b"] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term")).alias("b")).collect()]
-    rows = index.postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    tf = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
-    every = rows.groupBy("chunk_id", "memory_id", F.col("dl").cast("double").alias("dl")).agg(*tf)
-    df = rows.agg(*[F.count_if(F.col("term") == t).cast("double").alias(f"df{i}") for i, t in enumerate(terms)])
-    counts = index.lengths.agg(F.coalesce(F.sum("chunks"), F.lit(0)).cast("double").alias("n"), (F.sum("tokens") / F.sum("chunks")).alias("avgdl"))
-    # two rows of scalars
-    found = every.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(df.join(F.broadcast(counts))))
-    return found.select("chunk_id", "memory_id", reduce(add, [_bm25_part(F.col(f"tf{i}"), F.col(f"df{i}")) for i in range(len(terms))]).alias("bm25"))
+    return indexed.bm25_by_index(index, query)
 
 
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
@@ -109,28 +76,29 @@ def _term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
     return words.select("chunk_id", "memory_id", n.cast("double").alias("dl"), *[(n - others(t)).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
-def _bm25_part(tf: Column, df: Column) -> Column:
-    idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-    return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+def _bm25_part(tf: Column, df: Column, n: Column | None = None, dl: Column | None = None, avgdl: Column | None = None) -> Column:
+    """A term's part; the columns n, dl and avgdl are those of these names unless they are given."""
+    n, dl, avgdl = (F.col(name) if given is None else given for name, given in (("n", n), ("dl", dl), ("avgdl", avgdl)))
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def search_fts(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int | None = SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
-    """Latest rows with all terms of the query in one chunk, with score: priority, recency and the best chunk's rank. With
-    the chunks' index their texts aren't read."""
-    best = (bm25(chunks, query) if index is None else bm25_by_index(index, query)).groupBy("memory_id").agg(F.max("bm25").alias("rank"))
+def search_fts(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int | None = SEARCH_LIMIT) -> DataFrame:
+    """Latest rows with all terms of the query in one chunk, with score: priority, recency and the best chunk's rank."""
+    best = bm25(chunks, query).groupBy("memory_id").agg(F.max("bm25").alias("rank"))
     rows = visible(memories, as_of, ns, kind).join(best, F.col("id") == F.col("memory_id"))
     weight = F.coalesce(*[F.when(F.col("priority") == p, F.lit(w)) for p, w in SEARCH_PRIORITY.items()], F.lit(1.0))
     score = weight * PRIORITY + julian_day(F.col("created_at")) / julian_day(as_timestamp(as_of)) * RECENCY + F.col("rank") * RANK
     return _limit(rows.select(*MEMORY_COLS, score.alias("score")).orderBy(F.desc("score"), "id"), limit)
 
 
-def search_keywords(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int = SEARCH_LIMIT, index: Index | None = None) -> DataFrame:
+def search_keywords(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Ranked hits first, then substring hits; the latter are as many as the former leave room for, counted before those
     that come twice are left out. place orders the rows."""
     from pyspark.sql import Window as W
 
     limit = limit if limit > 0 else SEARCH_LIMIT
-    ranked = search_fts(memories, chunks, query, as_of, ns, kind, limit, index)
+    ranked = search_fts(memories, chunks, query, as_of, ns, kind, limit)
     like = search_like(memories, chunks, query, as_of, ns, kind, limit)
     # both sides have at most `limit` rows
     ranked = ranked.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id"))).drop("score")
@@ -176,7 +144,9 @@ def search_vectors(chunks: DataFrame, queries: DataFrame, least: float = MIN_SIM
     n = max(1, -(-queries.count() // block))
     held = chunks.filter("embedding IS NOT NULL").select("memory_id", F.col("embedding").alias("v"))
     parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
-    found = [held.crossJoin(F.broadcast(part)).groupBy("query_id", "memory_id").agg(F.max(cosine(F.col("v"), F.col("embedding"))).alias("similarity")) for part in parts]
+    # those below the threshold can't be the best that counts, and so aren't shuffled
+    near = [held.crossJoin(F.broadcast(part)).select("query_id", "memory_id", cosine(F.col("v"), F.col("embedding")).alias("similarity")).filter(F.col("similarity") >= least) for part in parts]
+    found = [pairs.groupBy("query_id", "memory_id").agg(F.max("similarity").alias("similarity")) for pairs in near]
     return above_threshold(reduce(DataFrame.unionByName, found), least)
 
 
@@ -191,10 +161,14 @@ def merge_hybrid(keyword: DataFrame, vector: DataFrame, limit: int | None = SEAR
     return _limit(merged.orderBy(F.desc("similarity"), F.desc("created_at"), "id"), limit)
 
 
-def search(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int = SEARCH_LIMIT, embedder=None, index: Index | None = None) -> DataFrame:
+def search(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int = SEARCH_LIMIT, embedder=None) -> DataFrame:
     """Keyword search; with an embedder and vector hits, the hybrid order. A query that can't be embedded, or
     finds no vector, leaves the keyword order."""
-    found = search_keywords(memories, chunks, query, as_of, ns, kind, limit, index)
+    return with_vectors(search_keywords(memories, chunks, query, as_of, ns, kind, limit), memories, chunks, query, as_of, ns, kind, limit, embedder)
+
+
+def with_vectors(found: DataFrame, memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int = SEARCH_LIMIT, embedder=None) -> DataFrame:
+    """Keyword hits (with place) and, with an embedder, vector hits in the hybrid order."""
     vector = embedder.embed_batch([query])[0] if embedder is not None else None
     if vector is None:
         return found.withColumn("similarity", F.lit(0.0)).select(*MEMORY_COLS, "similarity", "place")

@@ -89,22 +89,36 @@ def fold_links(log: DataFrame) -> DataFrame:
     return kept.groupBy(*ends).agg(F.min_by("ts", "op_seq").alias("created_at")).withColumnRenamed("id", "from_id")
 
 
-def fold_memories(memories: DataFrame, log: DataFrame) -> DataFrame:
-    """The state that a log makes of appended rows: deletions, accesses."""
-    state = log.filter(F.col("op").isin("soft_delete", "hard_delete", "access")).groupBy("id").agg(
-        F.min(F.when(F.col("op") == "soft_delete", F.col("ts"))).alias("__soft"),
-        F.count_if(F.col("op") == "hard_delete").alias("__hard"),
-        F.count_if(F.col("op") == "access").alias("__n"),
-        F.max(F.when(F.col("op") == "access", F.col("ts"))).alias("__last"),
+def fold_changes(changes: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """schema.STATE: what changes (schema.CHANGES) come to, after those that `before` (STATE) has folded."""
+    is_ = lambda *ops: F.col("op").isin(*ops)
+    rows = changes.select(
+        "batch",
+        "id",
+        F.when(is_("soft_delete"), F.col("ts")).alias("soft"),
+        is_("hard_delete").alias("hard"),
+        F.when(is_("cover", "uncover"), is_("cover")).alias("covers"),
+        F.when(is_("access"), 1).otherwise(0).cast("long").alias("n"),
+        F.when(is_("access"), F.col("ts")).alias("last"),
+        "op_seq",
     )
-    rows = memories.join(state, "id", "left").filter("__hard IS NULL OR __hard = 0")
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("op_seq", F.lit(0).cast("long")))
+    covers = F.max_by("covers", F.when(F.col("covers").isNotNull(), F.col("op_seq")))
+    return rows.groupBy("batch", "id").agg(F.min("soft").alias("soft"), F.bool_or("hard").alias("hard"), covers.alias("covers"), F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def fold_memories(memories: DataFrame, state: DataFrame) -> DataFrame:
+    """Stored rows (with batch and covered) as schema.STATE leaves them; without those that were deleted for good."""
+    rows = memories.join(state, ["batch", "id"], "left").filter("hard IS NULL OR NOT hard")
     return rows.withColumns(
         {
-            "deleted_at": F.coalesce("deleted_at", "__soft"),
-            "access_count": (F.col("access_count") + F.coalesce("__n", F.lit(0))).cast("int"),
-            "last_accessed_at": F.greatest("last_accessed_at", "__last"),
+            "deleted_at": F.coalesce("deleted_at", "soft"),
+            "access_count": (F.col("access_count") + F.coalesce("n", F.lit(0))).cast("int"),
+            "last_accessed_at": F.greatest("last_accessed_at", "last"),
+            "covered": F.coalesce("covers", "covered"),
         }
-    ).select(MEMORY_COLS)
+    ).select(memories.columns)
 
 
 def import_puts(exported: DataFrame) -> DataFrame:

@@ -3,15 +3,18 @@ priorities, headings, orders under a limit, contexts with an excerpt, refused de
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import round_half_away, split_tags
-from palimpsest.operators import chunking, context, reads, search, writes
+from palimpsest.operators import chunking, context, reads, search, vectors, writes
 from palimpsest.plans import registry, views
 from palimpsest.plans.registry import _query
 from palimpsest.plans.views import AS_OF, MEM_EVENTS_SQL
+from palimpsest.scratch import written
 
 _PRIORITIES = ["low", "normal", "high", "critical", "other"]
 
@@ -126,6 +129,48 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_vectors(chunks, chunks.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
+@_query(registry.ORACLES["vector_queries"])
+def vector_queries_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by pivots: pairs that can't be similar enough aren't compared."""
+    chunks = views.vectors(spark, sf_dir)
+    return vectors.search_vectors(chunks, chunks.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+@_query(
+    f"""WITH e AS (SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN embedding[1:32] ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 11 <> 0),
+    sims AS (SELECT q.vec_id AS query_id, CAST(e.label AS VARCHAR) AS memory_id, {registry._DOT.format('e.embedding', 'q.embedding')} / (sqrt({registry._DOT.format('e.embedding', 'e.embedding')}) * sqrt({registry._DOT.format('q.embedding', 'q.embedding')})) AS s
+      FROM e q, e WHERE q.vec_id % 50 = 0 AND len(q.embedding) = len(e.embedding)),
+    best AS (SELECT query_id, memory_id, max(s) AS similarity FROM sims GROUP BY ALL)
+    SELECT query_id, memory_id, round(similarity * 1000) / 1000 AS similarity FROM best WHERE similarity >= 0.3"""
+)
+def vector_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh vector is missing and every thirteenth is half as long: both are similar to none of another length."""
+    cut = F.when(F.col("vec_id") % 13 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    chunks = views.vectors(spark, sf_dir).withColumn("embedding", F.when(F.col("vec_id") % 11 != 0, cut))
+    return vectors.search_vectors(chunks, chunks.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+@_query(
+    _FOUND
+    + f""", scored AS (SELECT *, 0.4 + exp(-0.1 * (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 8.64e10) * 0.2
+      + (CASE priority WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'low' THEN 0.25 ELSE 0.5 END) * 0.2 AS points FROM found),
+    top AS (SELECT *, row_number() OVER (ORDER BY points DESC, id) AS place FROM scored QUALIFY place <= 50),
+    budgets AS (SELECT unnest([1500, 1501, 1502, 1503, 2200, 2201, 2202, 2203, 3001, 4000]) AS budget),
+    summed AS (SELECT budget, 4 * budget AS room, top.*, CAST(sum(strlen(content)) OVER (PARTITION BY budget ORDER BY place) AS BIGINT) AS upto, strlen(content) AS size FROM top, budgets),
+    packed AS (SELECT *, upto > room AS excerpt, room - (upto - size) AS rest FROM summed WHERE upto <= room OR (upto - size <= room AND room - (upto - size) >= 100))
+    SELECT budget, CAST(sum(CASE WHEN excerpt THEN rest + 3 ELSE size END) OVER (PARTITION BY budget) // 4 AS INTEGER) AS used, CAST(place AS INTEGER) AS place, key,
+           CASE WHEN excerpt THEN substr(hex(encode(content)), 1, CAST(2 * rest AS INTEGER)) || '2E2E2E' ELSE hex(encode(content)) END AS bytes, excerpt FROM packed"""
+)
+def context_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of ten budgets over texts in all languages, as bytes: an excerpt may end within a character."""
+    found = search.search_fts(mem_notes(spark, sf_dir), line_chunks(spark, sf_dir), "with that", AS_OF, limit=None)
+    scored = found.withColumn("score", context.context_score(AS_OF)).orderBy(F.desc("score"), "id").limit(context.CANDIDATES)
+    top, parts = written(scored, "candidates"), []
+    for budget in (1500, 1501, 1502, 1503, 2200, 2201, 2202, 2203, 3001, 4000):
+        parts.append(context.pack(top, budget).select("budget", "used", "place", "key", F.hex(F.col("content").cast("binary")).alias("bytes"), "excerpt"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _PLACED = "SELECT {0}, CAST(row_number() OVER (ORDER BY {1}) AS INTEGER) AS place FROM live QUALIFY place <= 40"
 
 

@@ -384,3 +384,4 @@ def ttl_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from palimpsest.plans import cases as cases  # noqa: E402  adds its queries to these
+from palimpsest.plans import stored as stored  # noqa: E402

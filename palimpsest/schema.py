@@ -40,10 +40,17 @@ CHUNKS = _fields(
     end_line=T.IntegerType(),
     embedding=T.ArrayType(T.FloatType()),
 )
-#: The keyword index of chunks: a row for each term of a chunk, in a bucket by the term's hash; and the tokens of each
-#: memory's chunks.
-POSTINGS = _fields(term=T.StringType(), chunk_id=T.StringType(), memory_id=T.StringType(), tf=T.LongType(), dl=T.LongType(), bucket=T.IntegerType())
-LENGTHS = _fields(memory_id=T.StringType(), chunks=T.LongType(), tokens=T.LongType())
+#: What a segment of a store has besides: ref numbers its memories, in the order of ns and key; covered tells of a row
+#: that a live row supersedes it; weight and created (a Julian day) are what a memory counts in a search.
+STORED_MEMORIES = T.StructType([*MEMORIES.fields, *_fields(ref=T.LongType(), covered=T.BooleanType()).fields])
+STORED_CHUNKS = T.StructType([*CHUNKS.fields, *_fields(ref=T.LongType(), weight=T.DoubleType(), created=T.DoubleType()).fields])
+#: The index of a segment (operators/indexed.py): terms and trigrams by blocks of memories; and the chunks and tokens of each memory.
+_ENTRY = _fields(ref=T.IntegerType(), seq=T.IntegerType(), tf=T.IntegerType(), dl=T.IntegerType())
+POSTINGS = _fields(
+    term=T.StringType(), block=T.LongType(), n=T.LongType(), max_tf=T.IntegerType(), min_dl=T.IntegerType(), max_weight=T.DoubleType(), max_created=T.DoubleType(), entries=T.ArrayType(_ENTRY)
+)
+GRAMS = _fields(gram=T.IntegerType(), block=T.LongType(), refs=T.ArrayType(T.IntegerType()))
+LENGTHS = _fields(ref=T.LongType(), memory_id=T.StringType(), chunks=T.LongType(), tokens=T.LongType())
 LINKS = _fields(from_id=T.StringType(), to_id=T.StringType(), rel=T.StringType(), created_at=T.TimestampNTZType())
 PUTS = _fields(
     seq=T.LongType(),
@@ -56,12 +63,12 @@ PUTS = _fields(
     meta=T.StringType(),
     ttl=T.StringType(),
 )
-#: The log of changes to rows that stay: op is soft_delete, hard_delete, access, link or unlink.
-LOG = _fields(
-    op_seq=T.LongType(),
-    op=T.StringType(),
-    id=T.StringType(),
-    ts=T.TimestampNTZType(),
-    to_id=T.StringType(),
-    rel=T.StringType(),
+#: Links and unlinks in the order of a log.
+LINK_LOG = _fields(op_seq=T.LongType(), op=T.StringType(), id=T.StringType(), ts=T.TimestampNTZType(), to_id=T.StringType(), rel=T.StringType())
+#: Changes to rows that stay: op is soft_delete, hard_delete, access, cover or uncover. A row is named by its segment and id; ns and key
+#: tell other writers what was touched, and version a put what it goes on from.
+CHANGES = _fields(
+    op_seq=T.LongType(), op=T.StringType(), batch=T.StringType(), id=T.StringType(), ns=T.StringType(), key=T.StringType(), version=T.IntegerType(), ts=T.TimestampNTZType()
 )
+#: What changes come to, for each row that has any.
+STATE = _fields(batch=T.StringType(), id=T.StringType(), soft=T.TimestampNTZType(), hard=T.BooleanType(), covers=T.BooleanType(), n=T.LongType(), last=T.TimestampNTZType())

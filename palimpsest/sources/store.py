@@ -1,195 +1,421 @@
-"""A store of memories: append-only Parquet tables and a log, read as lazy DataFrames at an explicit time.
+"""A store of memories: immutable segments of Parquet tables and a numbered log, read as lazy DataFrames at an explicit time.
 
-A store is a folder of generations, of which the file CURRENT names one. Each holds memories (rows as put), chunks, the
-keyword index of these (postings by hash of the term, and lengths) and log (puts, deletions, accesses, links; see
-schema.LOG). Versions are resolved when rows are put, so a read only folds the log.
+A store is a folder of generations, of which the file CURRENT names one. A generation has segments, each a folder `batch=name` in each of
+the tables memories, chunks, lengths, postings and grams (the last three are the index, see operators/indexed.py), and a log
+(sources/log.py). Versions are resolved when rows are put, and a row that a put supersedes is noted as covered, so that a read of latest rows
+ranks nothing and shuffles nothing by key: it only folds what changed since the rows were written.
 
-A batch of puts is a folder in each table, named after it, and counts only once the log, which is written last and as one
-file, has its line: what a write that failed has left is never read. There is one writer at a time; a write that finds
-that another came between fails before it commits.
+Many may write at once. A write prepares its segment, which doesn't count until the log has its line, and then makes the next log file; if
+another write was faster and touched the same keys or replaced the same segments, it starts anew on the new state. A reader keeps the state it began
+with. What a write that failed has left is never read.
+
+Segments of like size are merged when there are FANOUT of them, by which rows that were deleted for good go and changes are written into the
+rows. So n puts leave a number of files that grows as log n, once vacuum() has removed what is no longer used.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.text import as_timestamp, parse_ttl, ttl_seconds
-from palimpsest.operators import context, reads, search, writes
-from palimpsest.operators.chunking import chunk_rows
+from palimpsest.functions.text import as_timestamp, julian_day, parse_ttl, tokens, ttl_seconds
+from palimpsest.operators import chunking, context, indexed, reads, search, writes
 from palimpsest.operators.filters import live
-from palimpsest.schema import CHUNKS, LENGTHS, LOG, MEMORIES, POSTINGS, PUTS, RELATIONS
+from palimpsest.schema import CHANGES, CHUNKS, GRAMS, LENGTHS, LINK_LOG, LINKS, MEMORIES, MEMORY_COLS, POSTINGS, PUTS, RELATIONS, STATE, STORED_CHUNKS, STORED_MEMORIES
 from palimpsest.sources import json_io
 from palimpsest.sources.embedding import Embedder, with_embedding
+from palimpsest.sources.files import Files
+from palimpsest.sources.log import ConcurrentWrite as ConcurrentWrite
+from palimpsest.sources.log import Log, State
+
+#: Keys or changes that a commit lists in its line; of more, a table is written.
+INLINE = 1000
+#: Commits after which a snapshot is taken; segments of like size that are merged; times that a write starts anew.
+TAIL, FANOUT, RETRIES = 64, 8, 50
+#: A segment of which more than one row in so many has changed is rewritten.
+CHANGED_SHARE = 4
+#: Changed rows that are broadcast to the scans of memories.
+BROADCAST_ROWS = 200_000
+#: Rows of a page of memories and chunks, and of an index: what a scan skips by.
+PAGE_ROWS, INDEX_PAGE_ROWS = 64, 512
+#: Seconds that files are kept which no new reader needs.
+RETAIN_S = 86_400
+
+#: What a commit says of a change.
+CHANGED = ["op", "batch", "id", "ns", "key", "version"]
+TABLES = {"memories": STORED_MEMORIES, "chunks": STORED_CHUNKS, "lengths": LENGTHS, "postings": POSTINGS, "grams": GRAMS}
 
 
 class NotFound(LookupError):
     pass
 
 
-class ConcurrentWrite(RuntimeError):
-    pass
+class Conflict(ConcurrentWrite):
+    """Another write came between that touched the same; the write starts anew."""
 
 
 def now() -> str:
     return dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S")
 
 
-TABLES = {"memories": MEMORIES, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS}
+def _name(ns: str, key: str) -> str:
+    return f"{ns}\x1f{key}"
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None) -> None:
-        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+        self.spark, self.path, self.embedder, self.files = spark, path.rstrip("/"), embedder, Files(spark)
+        self._logs: dict[str, Log] = {}
         if self._current() is None:
-            spark.createDataFrame([], LOG).write.mode("ignore").parquet(f"{self.path}/g0/log")
-            self._point_to("g0")
-
-    # files
+            self.files.create(f"{self.path}/CURRENT", "g0")
 
-    def _fs(self, path: str):
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
+    # state
 
     def _current(self) -> str | None:
-        fs, path = self._fs(f"{self.path}/CURRENT")
-        return self.spark.read.text(path.toString()).first()["value"] if fs.exists(path) else None
+        return self.files.read(f"{self.path}/CURRENT")
 
     def _point_to(self, generation: str) -> None:
-        fs, new = self._fs(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray(generation.encode()))
-        out.close()
-        # replaces CURRENT in one step, so that there always is one
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        overwrite = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
-        overwrite[0] = hadoop.Options.Rename.OVERWRITE
-        path = hadoop.Path(f"{self.path}/CURRENT")
-        hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, overwrite)
-
-    def _table(self, name: str) -> str:
-        return f"{self.path}/{self._current()}/{name}"
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(self._table("log"))
-
-    def _seq(self) -> int:
-        return (self._log().agg(F.max("op_seq")).first()[0] or 0) + 1
-
-    def _append_log(self, seq: int, op: str, ids: DataFrame, as_of, to_id: str | None = None, rel: str | None = None) -> None:
-        if self._seq() != seq:
-            raise ConcurrentWrite("another write came between")
-        rows = ids.select(F.lit(seq).cast("long").alias("op_seq"), F.lit(op).alias("op"), "id", as_timestamp(as_of).alias("ts"), F.lit(to_id).cast("string").alias("to_id"), F.lit(rel).cast("string").alias("rel"))
-        rows.coalesce(1).write.mode("append").parquet(self._table("log"))
+        self.files.replace(f"{self.path}/CURRENT", generation)
 
-    def _ids(self, *ids: str | None) -> DataFrame:
-        return self.spark.createDataFrame([(x,) for x in ids], "id string")
+    def _log(self, generation: str) -> Log:
+        if generation not in self._logs:
+            self._logs[generation] = Log(self.files, f"{self.path}/{generation}")
+        return self._logs[generation]
 
-    # state
+    def _state(self) -> State:
+        generation = self._current()
+        return self._log(generation).state(generation)
 
-    def _committed(self, name: str) -> DataFrame:
-        """The rows of a table of those batches that the log has."""
-        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.StringType())])
-        fs, path = self._fs(self._table(name))
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], TABLES[name])
-        done = self._log().filter("op = 'put'").select(F.col("id").alias("batch"))
-        return self.spark.read.schema(schema).parquet(path.toString()).join(done, "batch", "left_semi").select(TABLES[name].fieldNames())
-
-    def _gone(self) -> DataFrame:
-        return self._log().filter("op = 'hard_delete'").select(F.col("id").alias("memory_id"))
+    def _seq(self) -> int:
+        """The number of the next commit."""
+        return self._log(self._current()).last() + 1
+
+    def _writable(self) -> State:
+        """The state; where a compaction has closed the generation but not turned to its own, it does that first."""
+        state = self._state()
+        if state.tail and state.tail[-1]["op"] == "closed":
+            self._point_to(state.tail[-1]["to"])
+            return self._writable()
+        return state
+
+    def _retried(self, write: Callable):
+        for _ in range(RETRIES):
+            try:
+                return write()
+            except Conflict:
+                continue
+        raise ConcurrentWrite("other writes kept coming between")
+
+    # the log
+
+    def _append_log(self, state: State, commit: dict, keys: set[str] | DataFrame | None = frozenset(), batches: Iterable[str] = ()) -> int:
+        """Makes a commit the next one, unless what came since `state` touched the keys (ns and key of rows; None: any) or
+        replaced one of the batches. Its number."""
+        log, seq = self._log(state.generation), state.seq + 1
+        batches = set(batches)
+        while True:
+            following = self._seq()
+            for n in range(seq, following):
+                other = log.commit(n)
+                if other is None:
+                    raise ConcurrentWrite("another write came between")
+                if other["op"] == "closed" or batches & set(other.get("replaces", ())) or self._overlap(state, keys, other):
+                    raise Conflict
+                if commit.get("replaces") and {b for _, b, *_ in other.get("changes", ())} & batches or commit.get("replaces") and other.get("changes_in"):
+                    raise Conflict
+            seq = max(seq, following)
+            if log.append(seq, commit | {"at": time.time()}):
+                return seq
+
+    def _overlap(self, state: State, mine: set[str] | DataFrame | None, other: dict) -> bool:
+        theirs = other.get("keys", [])
+        if theirs == [] or mine is not None and not isinstance(mine, DataFrame) and not mine:
+            return False
+        if mine is None:
+            return True
+        if theirs is not None and not isinstance(mine, DataFrame):
+            return not mine.isdisjoint(theirs)
+        schema = "ns string, key string"
+        as_rows = lambda keys: self.spark.createDataFrame([tuple(k.split("\x1f", 1)) for k in keys], schema)
+        if theirs is None:
+            theirs = self._read(state, "memories", [other["segment"]]) if other.get("segment") else self._listed(state, other["changes_in"])
+        else:
+            theirs = as_rows(theirs)
+        mine = mine if isinstance(mine, DataFrame) else as_rows(mine)
+        return not mine.join(theirs.select("ns", "key").distinct(), ["ns", "key"], "left_semi").isEmpty()
+
+    def _changes(self, state: State, changes: DataFrame) -> dict:
+        """changes (CHANGED) as part of a commit: listed, or written if there are many."""
+        changes = changes.select(CHANGED)
+        some = changes.limit(INLINE + 1).collect()
+        if len(some) <= INLINE:
+            return {"changes": [list(r) for r in some]}
+        name = f"changes/{uuid.uuid4().hex}"
+        changes.write.parquet(f"{self.path}/{state.generation}/{name}")
+        return {"changes_in": name}
+
+    def _listed(self, state: State, name: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType([CHANGES[c] for c in CHANGED])).parquet(f"{self.path}/{state.generation}/{name}")
+
+    def _tail(self, state: State) -> DataFrame | None:
+        """The changes of the commits after the snapshot, of segments that are still live."""
+        rows, parts = [], []
+        for c in state.tail:
+            rows += [(c["seq"], *change, c["ts"]) for change in c.get("changes", ()) if change[1] in state.segments]
+            if c.get("changes_in"):
+                listed = self._listed(state, c["changes_in"]).filter(F.col("batch").isin(list(state.segments)))
+                parts.append(listed.select(F.lit(c["seq"]).cast("long").alias("op_seq"), *CHANGED, F.lit(c["ts"]).alias("ts")))
+        names = CHANGES.fieldNames()
+        if rows:
+            parts.append(self.spark.createDataFrame(rows, T.StructType([*CHANGES.fields[:-1], T.StructField("ts", T.StringType())])))
+        if not parts:
+            return None
+        return reduce(DataFrame.unionByName, parts).withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(names)
+
+    def _changed(self, state: State) -> DataFrame | None:
+        """schema.STATE as of a state; None if nothing changed. It is broadcast if it is known to be small."""
+        tail, base = self._tail(state), None
+        if state.snapshot and state.snapshot["state_rows"]:
+            base = self.spark.read.schema(STATE).parquet(f"{self.path}/{state.generation}/{state.snapshot['folder']}/state").filter(F.col("batch").isin(list(state.segments)))
+        if tail is None:
+            return base if base is None or state.snapshot["state_rows"] > BROADCAST_ROWS else F.broadcast(base)
+        folded = writes.fold_changes(tail, base)
+        small = (state.snapshot or {}).get("state_rows", 0) + len(state.tail) * INLINE <= BROADCAST_ROWS and not any(c.get("changes_in") for c in state.tail)
+        return F.broadcast(folded) if small else folded
+
+    # tables
+
+    def _read(self, state: State, name: str, batches: Iterable[str]) -> DataFrame:
+        schema, folder = T.StructType([*TABLES[name].fields, T.StructField("batch", T.StringType())]), f"{self.path}/{state.generation}/{name}"
+        paths = [f"{folder}/batch={b}" for b in batches]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+
+    def _rows(self, state: State, blocks: indexed.Blocks | None = None, batches: Iterable[str] | None = None) -> DataFrame:
+        """Memory rows with batch, ref and covered, as of a state; of some blocks, or all."""
+        rows = self._some(state, "memories", blocks) if blocks is not None else self._read(state, "memories", state.segments if batches is None else batches)
+        changed = self._changed(state)
+        return rows if changed is None else writes.fold_memories(rows, changed)
+
+    def _some(self, state: State, name: str, blocks: indexed.Blocks) -> DataFrame:
+        """The rows of some blocks, whose pages alone are read."""
+        parts = [self._read(state, name, [b]).filter(indexed.in_blocks(F.col("ref"), blocks[b])) for b in blocks]
+        return reduce(DataFrame.unionByName, parts) if parts else self._read(state, name, [])
+
+    def _gone(self, state: State) -> DataFrame | None:
+        changed = self._changed(state)
+        if changed is None or not state.snapshot and not any(c["op"] == "hard_delete" for c in state.tail):
+            return None
+        return changed.filter("hard").select("batch", F.col("id").alias("memory_id"))
 
     def memories(self) -> DataFrame:
         """Every row that hasn't been deleted for good, as the log has it now."""
-        return writes.fold_memories(self._committed("memories"), self._log())
+        return self._rows(self._state()).select(MEMORY_COLS)
 
     def chunks(self) -> DataFrame:
-        return self._committed("chunks").join(self._gone(), "memory_id", "left_anti").select(CHUNKS.fieldNames())
-
-    def index(self) -> search.Index:
-        """The keyword index of chunks(). Of the postings, a search reads those of its terms."""
-        rows = lambda name: self._committed(name).join(self._gone(), "memory_id", "left_anti")
-        return search.Index(rows("postings"), rows("lengths"))
+        return self._chunks(self._state()).select(CHUNKS.fieldNames())
+
+    def _chunks(self, state: State, batches: Iterable[str] | None = None) -> DataFrame:
+        rows, gone = self._read(state, "chunks", state.segments if batches is None else batches), self._gone(state)
+        return rows if gone is None else rows.join(gone, ["batch", "memory_id"], "left_anti")
+
+    def index(self, state: State | None = None) -> indexed.Index:
+        """The index of chunks(). Of the postings, a search reads those of its terms."""
+        state = state or self._state()
+        total = lambda what: sum(s[what] for s in state.segments.values())
+        return indexed.Index(
+            *[self._read(state, name, state.segments) for name in ("postings", "grams", "lengths")],
+            self._gone(state),
+            total("chunks"),
+            total("tokens"),
+            lambda blocks: self._rows(state, blocks),
+            lambda blocks: self._chunks(state) if blocks is None else self._some(state, "chunks", blocks),
+        )
 
     def links(self) -> DataFrame:
-        return writes.fold_links(self._log()).select("from_id", "to_id", "rel", "created_at")
+        return self._links(self._state())
+
+    def _links(self, state: State) -> DataFrame:
+        rows = [(c["seq"], c["op"], c["from"], c["ts"], c["to"], c["rel"]) for c in state.tail if c["op"] in ("link", "unlink")]
+        log = self.spark.createDataFrame(rows, T.StructType([T.StructField(f.name, T.StringType()) if f.name == "ts" else f for f in LINK_LOG])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        if state.snapshot:
+            base = self.spark.read.schema(LINKS).parquet(f"{self.path}/{state.generation}/{state.snapshot['folder']}/links")
+            log = log.unionByName(base.select(F.lit(0).cast("long").alias("op_seq"), F.lit("link").alias("op"), F.col("from_id").alias("id"), F.col("created_at").alias("ts"), "to_id", "rel"))
+        return writes.fold_links(log).select("from_id", "to_id", "rel", "created_at")
+
+    # segments
+
+    def _add(self, generation: str, name: str, batch: str, rows: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+        """Writes a table of a segment, which doesn't count yet; its rows."""
+        path = f"{self.path}/{generation}/{name}/batch={batch}"
+        rows = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
+        rows.write.option("parquet.page.row.count.limit", str(page_rows)).parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(path)
+
+    def _add_memories(self, generation: str, batch: str, rows: DataFrame, small: bool) -> DataFrame:
+        """Writes rows (MEMORY_COLS, covered) in the order of their keys, numbered by ref."""
+        order = ["ns", "key", "version", "id"]
+        rows = rows.coalesce(1) if small else rows.repartitionByRange(*order)
+        return self._add(generation, "memories", batch, rows.sortWithinPartitions(*order).withColumn("ref", F.monotonically_increasing_id()))
+
+    def _add_index(self, generation: str, batch: str, rows: DataFrame, chunks: DataFrame, small: bool) -> dict:
+        """Writes a segment's chunks and index; what the commit says of its size."""
+        dealt = lambda df, *by: (df.coalesce(1) if small else df.repartitionByRange(*by)).sortWithinPartitions(*by)
+        chunks = self._add(generation, "chunks", batch, dealt(chunks, "ref", "seq"))
+        n = F.size(tokens(F.col("text"))).cast("long")
+        lengths = (chunks.coalesce(1) if small else chunks).groupBy("ref", "memory_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(n).alias("tokens"))
+        source = (rows.coalesce(1), chunks.coalesce(1)) if small else (rows, chunks)
+        tables = {
+            "lengths": (lengths, PAGE_ROWS),
+            "postings": (dealt(indexed.postings_of(source[1]), "term", "block"), INDEX_PAGE_ROWS),
+            "grams": (dealt(indexed.grams_of(*source), "gram", "block"), INDEX_PAGE_ROWS),
+        }
+        # they don't depend on each other
+        with ThreadPoolExecutor(len(tables)) as pool:
+            made = {name: pool.submit(self._add, generation, name, batch, *table) for name, table in tables.items()}
+        lengths = {name: m.result() for name, m in made.items()}["lengths"]
+        counts = lengths.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+        return {"rows": rows.count(), "chunks": counts["chunks"], "tokens": counts["tokens"]}
+
+    def _chunked(self, rows: DataFrame) -> DataFrame:
+        """The chunks of stored rows, as STORED_CHUNKS."""
+        cut = chunking.with_chunks(rows.select(F.col("id").alias("memory_id"), "content", "ref", indexed.weight(F.col("priority")).alias("weight"), julian_day(F.col("created_at")).alias("created")))
+        cut = cut.select("memory_id", "ref", "weight", "created", F.inline("chunks"))
+        return with_embedding(cut.withColumn("id", F.concat_ws("#", "memory_id", F.col("seq").cast("string"))), self.embedder)
 
     # writes
 
     def put_many(self, puts: DataFrame, as_of: str | None = None, mark: str | None = None) -> DataFrame:
         """Appends puts (schema.PUTS) as new versions, with their chunks; returns the rows. A mark that was used before
         makes it do nothing."""
-        as_of = as_of or now()
-        if mark is not None and not self._log().filter((F.col("op") == "put") & (F.col("to_id") == mark)).isEmpty():
-            return self.spark.createDataFrame([], MEMORIES)
         bad = puts.filter((F.col("ttl") != "") & ttl_seconds(F.col("ttl")).isNull()).select("ttl").first()
         if bad is not None:
             parse_ttl(bad["ttl"])
-        seq = self._seq()
-        batch, generation = f"b{seq}-{uuid.uuid4().hex}", self._current()
-        rows = self._add(generation, "memories", batch, writes.put_versions(self.memories(), puts, as_of, str(seq)))
-        self._add_chunks(generation, batch, with_embedding(chunk_rows(rows), self.embedder))
-        if self._current() != generation:
-            raise ConcurrentWrite("another write came between")
-        self._append_log(seq, "put", self._ids(batch), as_of, to_id=mark)
-        return rows
-
-    def _add(self, generation: str, name: str, batch: str, rows: DataFrame, *by: str) -> DataFrame:
-        """Writes a batch of a table, which doesn't count yet; its rows."""
-        path = f"{self.path}/{generation}/{name}/batch={batch}"
-        rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.partitionBy(*by).parquet(path)
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        done = self._retried(lambda: self._put(puts, as_of or now(), mark))
+        self.maintain()
+        return done
 
-    def _add_chunks(self, generation: str, batch: str, chunks: DataFrame) -> None:
-        """Writes a batch of chunks and its part of the keyword index."""
-        chunks = self._add(generation, "chunks", batch, chunks)
-        index = search.index_of(chunks)
-        self._add(generation, "lengths", batch, index.lengths)
-        # a folder for each bucket of terms, of which a search opens those of its own
-        self._add(generation, "postings", batch, index.postings.repartition("bucket"), "bucket")
+    def _put(self, puts: DataFrame, as_of: str, mark: str | None) -> DataFrame:
+        state = self._writable()
+        if mark is not None and self._is_marked(state, mark):
+            return self.spark.createDataFrame([], MEMORIES)
+        batch, generation = f"b{self._seq()}-{uuid.uuid4().hex}", state.generation
+        keys = puts.select("ns", "key").limit(INLINE + 1).collect()
+        small = len(keys) <= INLINE
+        stored = self._rows(state).filter(live() & ~F.col("covered"))
+        if small:
+            names = {_name(*k) for k in keys}
+            match = reduce(lambda a, b: a | b, [(F.col("ns") == k["ns"]) & (F.col("key") == k["key"]) for k in keys]) if len(keys) <= 20 else None
+            wanted = self.spark.createDataFrame(list({tuple(k) for k in keys}), "ns string, key string")
+            stored = stored.filter(match) if match is not None else stored.join(F.broadcast(wanted), ["ns", "key"], "left_semi")
+        else:
+            stored = stored.join(puts.select("ns", "key").distinct(), ["ns", "key"], "left_semi")
+        # the rows that are superseded
+        covers = self._changes(state, stored.withColumn("op", F.lit("cover")))
+        if "changes" in covers:
+            top = self.spark.createDataFrame(covers["changes"], T.StructType([CHANGES[c] for c in CHANGED]))
+        else:
+            top = self._listed(state, covers["changes_in"])
+        rows = writes.put_versions(top.withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")), puts.coalesce(1) if small else puts, as_of, str(state.seq + 1))
+        later = F.lead("id").over(W.partitionBy("ns", "key").orderBy("version"))
+        rows = self._add_memories(generation, batch, rows.withColumn("covered", later.isNotNull()), small)
+        sizes = self._add_index(generation, batch, rows, self._chunked(rows.coalesce(1) if small else rows), small)
+        commit = {"op": "put", "segment": batch, "mark": mark, "ts": as_of, "keys": sorted(names) if small else None, **sizes, **covers}
+        touched = {c[1] for c in covers["changes"]} if "changes" in covers else state.segments
+        self._append_log(state, commit, names if small else puts.select("ns", "key"), touched)
+        return rows.select(MEMORY_COLS)
+
+    def _is_marked(self, state: State, mark: str) -> bool:
+        if any(c.get("mark") == mark for c in state.tail):
+            return True
+        if not state.snapshot:
+            return False
+        return not self.spark.read.schema("mark string").parquet(f"{self.path}/{state.generation}/{state.snapshot['folder']}/marks").filter(F.col("mark") == mark).isEmpty()
 
     def put(self, ns: str, key: str, content: str, kind: str = "", tags: Iterable[str] = (), priority: str = "", meta: str | None = None, ttl: str = "", as_of: str | None = None) -> Row:
         """One new version; its row, with the number of its chunks."""
-        row = self.put_many(self.spark.createDataFrame([(0, ns, key, content, kind, list(tags), priority, meta, ttl)], PUTS), as_of)
-        chunks = self.chunks().join(row.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-        return row.withColumn("chunks", chunks.agg(F.count(F.lit(1)).cast("int")).scalar()).first()
+        row = self.put_many(self.spark.createDataFrame([(0, ns, key, content, kind, list(tags), priority, meta, ttl)], PUTS), as_of).first()
+        n = len(chunking.chunk_text(content))
+        return Row(**row.asDict(), chunks=n)
 
     def rm(self, ns: str, key: str, hard: bool = False, all_versions: bool = False, as_of: str | None = None) -> int:
         """Deletes the latest live version, or all versions; returns how many rows. A hard delete of a memory with links
         fails and changes nothing."""
-        seq, memories = self._seq(), self.memories().filter((F.col("ns") == ns) & (F.col("key") == key))
-        if all_versions:
-            hit = memories if hard else memories.filter(live())
+        n = self.rm_many(self.spark.createDataFrame([(ns, key)], "ns string, key string"), hard, all_versions, as_of)
+        if n == 0 and not all_versions:
+            raise NotFound(f"{ns}/{key}")
+        return n
+
+    def rm_many(self, keys: DataFrame, hard: bool = False, all_versions: bool = False, as_of: str | None = None) -> int:
+        """The same for keys (ns, key); keys that there aren't count as no rows. If one row has links, none is deleted for good."""
+        n = self._retried(lambda: self._rm(keys, hard, all_versions, as_of or now()))
+        self.maintain()
+        return n
+
+    def _rm(self, keys: DataFrame, hard: bool, all_versions: bool, as_of: str) -> int:
+        state = self._writable()
+        some = keys.select("ns", "key").distinct().limit(INLINE + 1).collect()
+        names = {_name(*k) for k in some} if len(some) <= INLINE else None
+        rows = self._rows(state)
+        if names is not None and len(some) <= 20:
+            rows = rows.filter(reduce(lambda a, b: a | b, [(F.col("ns") == k["ns"]) & (F.col("key") == k["key"]) for k in some], F.lit(False)))
         else:
-            hit = memories.filter(live()).orderBy(F.desc("version"), "id").limit(1)
-        hit = self._ids(*[r["id"] for r in hit.select("id").collect()])
-        n = hit.count()
+            wanted = keys.select("ns", "key").distinct()
+            rows = rows.join(F.broadcast(wanted) if names is not None else wanted, ["ns", "key"], "left_semi")
+        hit = rows if hard and all_versions else rows.filter(live())
+        if not all_versions:
+            hit = hit.filter(~F.col("covered"))
+        op = "hard_delete" if hard else "soft_delete"
+        entries = hit.withColumn("op", F.lit(op)).select(CHANGED)
+        if not all_versions:
+            # what lies under a row that goes is the latest again
+            under = rows.filter(live()).join(hit.select(F.col("supersedes").alias("id")), "id", "left_semi")
+            entries = entries.unionByName(under.withColumn("op", F.lit("uncover")).select(CHANGED))
+        changes = self._changes(state, entries)
+        if "changes" in changes:
+            made = [c[2] for c in changes["changes"] if c[0] == op]
+            n, ids = len(made), self.spark.createDataFrame([(x,) for x in made], "id string")
+        else:
+            listed = self._listed(state, changes["changes_in"]).filter(F.col("op") == op)
+            n, ids = listed.count(), listed.select("id")
         if n == 0:
-            if all_versions:
-                return 0
-            raise NotFound(f"{ns}/{key}")
-        if hard and not writes.linked(hit, self.links()).isEmpty():
-            raise ValueError(f"{ns}/{key} has links")
-        self._append_log(seq, "hard_delete" if hard else "soft_delete", hit, as_of or now())
+            return 0
+        if hard and not writes.linked(ids, self._links(state)).isEmpty():
+            raise ValueError("a memory that would be deleted has links")
+        self._append_log(state, {"op": op, "ts": as_of, "keys": sorted(names) if names is not None else None, **changes}, names if names is not None else keys.select("ns", "key"), state.segments)
         return n
 
     def get(self, ns: str, key: str, version: int = 0, history: bool = False, as_of: str | None = None) -> list[Row]:
         """The rows of a key. Unless it is the history, the first is counted as used; it shows the count before."""
-        rows = reads.get(self.memories(), ns, key, as_of or now(), version, history).collect()
+        return self._retried(lambda: self._get(ns, key, version, history, as_of or now()))
+
+    def _get(self, ns: str, key: str, version: int, history: bool, as_of: str) -> list[Row]:
+        state = self._state() if history else self._writable()
+        stored = self._rows(state)
+        rows = reads.get(stored, ns, key, as_of, version, history).collect()
         if not rows and not history:
             raise NotFound(f"{ns}/{key}")
         if not history:
-            self._append_log(self._seq(), "access", self._ids(rows[0]["id"]), as_of or now())
+            first = rows[0]["id"]
+            batch = stored.filter((F.col("ns") == ns) & (F.col("key") == key) & (F.col("id") == first)).select("batch").first()["batch"]
+            self._append_log(state, {"op": "access", "ts": as_of, "changes": [["access", batch, first, ns, key, rows[0]["version"]]]}, frozenset(), [batch])
+            self.maintain()
         return rows
 
-    def _resolved(self, ns: str, key: str) -> str:
-        row = writes.resolve(self.memories(), self.spark.createDataFrame([(ns, key)], "ns string, key string")).first()
-        if row["id"] is None:
+    def _resolved(self, state: State, ns: str, key: str) -> str:
+        row = self._rows(state).filter(live() & ~F.col("covered") & (F.col("ns") == ns) & (F.col("key") == key)).select("id").first()
+        if row is None:
             raise NotFound(f"{ns}/{key}")
         return row["id"]
 
@@ -197,34 +423,133 @@ class Store:
         """Links the latest versions of two keys, or takes the link away; both succeed if there is nothing to do."""
         if rel not in RELATIONS:
             raise ValueError(f"a link is one of {', '.join(RELATIONS)}, not {rel!r}")
-        seq, a, b = self._seq(), self._resolved(*from_key), self._resolved(*to_key)
-        self._append_log(seq, "unlink" if remove else "link", self._ids(a), as_of or now(), b, rel)
-        return Row(from_id=a, to_id=b, rel=rel, created_at=None if remove else as_of or now())
+        at = as_of or now()
+
+        def write() -> Row:
+            state = self._writable()
+            a, b = self._resolved(state, *from_key), self._resolved(state, *to_key)
+            names = {_name(*from_key), _name(*to_key)}
+            self._append_log(state, {"op": "unlink" if remove else "link", "from": a, "to": b, "rel": rel, "ts": at, "keys": sorted(names)}, names)
+            return Row(from_id=a, to_id=b, rel=rel, created_at=None if remove else at)
+
+        done = self._retried(write)
+        self.maintain()
+        return done
 
     def import_json(self, path: str, as_of: str | None = None) -> int:
         """Puts every row of an export in order; returns how many. None is left out as known."""
         return self.put_many(json_io.read_puts(self.spark, path), as_of).count()
 
+    # maintenance
+
+    def maintain(self) -> None:
+        """Merges segments of like size if there are FANOUT of them, rewrites one of which much has changed, and takes a snapshot
+        after TAIL commits. What another writer does meanwhile is left to it."""
+        while True:
+            state = self._state()
+            if state.tail and state.tail[-1]["op"] == "closed":
+                return
+            due = self._due(state)
+            if due is None:
+                break
+            try:
+                self._merge(state, due)
+            except Conflict:
+                return
+        if len(state.tail) >= TAIL:
+            self._snapshot(state)
+
+    def _due(self, state: State) -> list[str] | None:
+        levels: dict[int, list[str]] = {}
+        for name, s in state.segments.items():
+            levels.setdefault(int(math.log(max(s["rows"], 1), FANOUT)), []).append(name)
+        full = next((sorted(names) for _, names in sorted(levels.items()) if len(names) >= FANOUT), None)
+        changed = (state.snapshot or {}).get("changed", {})
+        return full or next(([n] for n, s in state.segments.items() if changed.get(n, 0) * CHANGED_SHARE > max(s["rows"], INLINE)), None)
+
+    def _merge(self, state: State, names: list[str], generation: str | None = None, batch: str | None = None) -> dict:
+        """One segment of several, as of a state: without what was deleted for good, and with all changes in the rows. In another
+        generation it isn't committed."""
+        batch, into = batch or f"m{state.seq + 1}-{uuid.uuid4().hex}", generation or state.generation
+        small = sum(state.segments[n]["rows"] for n in names) <= INLINE * FANOUT
+        rows = self._add_memories(into, batch, self._rows(state, batches=names).select(*MEMORY_COLS, "covered"), small)
+        refs = rows.select(F.col("id").alias("memory_id"), "ref")
+        chunks = self._chunks(state, names).drop("ref", "batch").join(F.broadcast(refs) if small else refs, "memory_id")
+        commit = {"op": "merge", "segment": batch, "replaces": names, "ts": now(), **self._add_index(into, batch, rows, chunks, small)}
+        if generation is None:
+            self._append_log(state, commit, frozenset(), names)
+        return commit
+
+    def _snapshot(self, state: State) -> None:
+        folder = f"snapshots/{uuid.uuid4().hex}"
+        path, changed = f"{self.path}/{state.generation}/{folder}", self._changed(state)
+        (self.spark.createDataFrame([], STATE) if changed is None else changed).select(STATE.fieldNames()).write.parquet(f"{path}/state")
+        self._links(state).coalesce(1).write.parquet(f"{path}/links")
+        marks = self.spark.createDataFrame([(c["mark"],) for c in state.tail if c.get("mark")], "mark string")
+        if state.snapshot:
+            marks = marks.union(self.spark.read.schema("mark string").parquet(f"{self.path}/{state.generation}/{state.snapshot['folder']}/marks"))
+        marks.coalesce(1).write.parquet(f"{path}/marks")
+        changed = {r["batch"]: r["n"] for r in self.spark.read.schema(STATE).parquet(f"{path}/state").groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self._log(state.generation).add_snapshot(state.seq, {"segments": state.segments, "folder": folder, "state_rows": sum(changed.values()), "changed": changed})
+
+    def vacuum(self, retain_s: float = RETAIN_S) -> int:
+        """Removes what no state from now on needs and hasn't for so many seconds: segments that were merged or never committed, log files and
+        snapshots before the last snapshot, older generations. A reader that began before that may fail. How many folders went."""
+        state, before, removed = self._state(), (time.time() - retain_s) * 1000, 0
+        root = f"{self.path}/{state.generation}"
+        used = {c.get("changes_in", "").removeprefix("changes/") for c in state.tail} | {(state.snapshot or {}).get("folder", "").removeprefix("snapshots/")}
+        for name in (*TABLES, "changes", "snapshots"):
+            for found, changed in self.files.names(f"{root}/{name}").items():
+                if changed <= before and not found.endswith(".json") and found.removeprefix("batch=") not in state.segments and found not in used:
+                    self.files.delete(f"{root}/{name}/{found}")
+                    removed += 1
+        if state.snapshot and state.snapshot["seq"] and retain_s <= 0 or state.snapshot and all(t <= before for t in self.files.names(f"{root}/log").values()):
+            self._log(state.generation).forget_before(state.snapshot)
+        for found, changed in self.files.names(self.path).items():
+            if found.startswith("g") and found != state.generation and changed <= before:
+                self.files.delete(f"{self.path}/{found}")
+                removed += 1
+        return removed
+
     def compact(self) -> None:
-        """Writes the state as a new generation, without what was deleted for good, and turns to it."""
-        seq, generation = self._seq(), f"g{uuid.uuid4().hex}"
-        self._add(generation, "memories", "whole", self.memories())
-        self._add_chunks(generation, "whole", self.chunks())
-        kept = self._log().filter("op = 'put' AND to_id IS NOT NULL").withColumn("id", F.lit(None).cast("string"))
-        first = self.links().select(F.lit(seq).cast("long").alias("op_seq"), F.lit("link").alias("op"), F.col("from_id").alias("id"), F.col("created_at").alias("ts"), "to_id", "rel")
-        turned = self.spark.createDataFrame([(seq, "compact", None, None, None, None), (seq, "put", "whole", None, None, None)], LOG)
-        kept.unionByName(first).unionByName(turned).select(LOG.fieldNames()).write.parquet(f"{self.path}/{generation}/log")
-        if self._seq() != seq:
-            raise ConcurrentWrite("another write came between")
-        self._point_to(generation)
+        """Writes the state as a new generation of one segment, without what was deleted for good, closes the old one, and turns to the new one."""
+
+        def write() -> None:
+            state = self._writable()
+            generation = f"g{uuid.uuid4().hex}"
+            log = self._log(generation)
+            whole = self._merge(state, list(state.segments), generation, "whole")
+            log.append(1, whole | {"replaces": [], "at": time.time()})
+            marks = [c["mark"] for c in state.tail if c.get("mark")]
+            # links and marks of old generations come as a snapshot
+            self._snapshot_of(state, log, generation, {"whole": {k: whole[k] for k in ("rows", "chunks", "tokens")}}, marks)
+            self._append_log(state, {"op": "closed", "to": generation, "ts": now()}, None, state.segments)
+            self._point_to(generation)
+
+        self._retried(write)
+
+    def _snapshot_of(self, state: State, log: Log, generation: str, segments: dict, marks: list[str]) -> None:
+        folder = f"snapshots/{uuid.uuid4().hex}"
+        path = f"{self.path}/{generation}/{folder}"
+        self.spark.createDataFrame([], STATE).write.parquet(f"{path}/state")
+        self._links(state).coalesce(1).write.parquet(f"{path}/links")
+        rows = self.spark.createDataFrame([(m,) for m in marks], "mark string")
+        if state.snapshot:
+            rows = rows.union(self.spark.read.schema("mark string").parquet(f"{self.path}/{state.generation}/{state.snapshot['folder']}/marks"))
+        rows.coalesce(1).write.parquet(f"{path}/marks")
+        log.add_snapshot(1, {"segments": segments, "folder": folder, "state_rows": 0})
 
     # reads
 
     def list(self, ns: str = "", kind: str = "", tags: Iterable[str] = (), limit: int | None = reads.LIST_LIMIT, as_of: str | None = None) -> DataFrame:
-        return reads.list_memories(self.memories(), as_of or now(), ns, kind, tags, limit)
+        return reads.list_memories(self._rows(self._state()), as_of or now(), ns, kind, tags, limit)
 
     def search(self, query: str, ns: str = "", kind: str = "", limit: int = search.SEARCH_LIMIT, as_of: str | None = None) -> DataFrame:
-        return search.search(self.memories(), self.chunks(), query, as_of or now(), ns, kind, limit, self.embedder, self.index())
+        """Hits with place and similarity. The hits are found as of the call, by the index; their rows are read later."""
+        state, as_of = self._state(), as_of or now()
+        index = self.index(state)
+        found = indexed.rows_of(index, indexed.keywords_top(index, query, as_of, ns, kind, limit)).select(*MEMORY_COLS, "place")
+        return search.with_vectors(found, self._rows(state), self._chunks(state), query, as_of, ns, kind, limit, self.embedder)
 
     def context(self, query: str, ns: str = "", kind: str = "", tags: Iterable[str] = (), budget: int = context.BUDGET, as_of: str | None = None) -> DataFrame:
         """One row (budget, used, memories). Tags are taken and, as ever, don't filter."""
@@ -240,9 +565,9 @@ class Store:
 
     def stats(self) -> DataFrame:
         """One row: path, size in bytes, total, active and chunks."""
-        fs, path = self._fs(f"{self.path}/{self._current()}")
-        size = fs.getContentSummary(path).getLength()
-        return reads.stats_totals(self.memories(), self.chunks()).select(F.lit(self.path).alias("db_path"), F.lit(size).cast("long").alias("db_size_bytes"), "total", "active", "chunks")
+        state = self._state()
+        size = self.files.size(f"{self.path}/{state.generation}")
+        return reads.stats_totals(self._rows(state), self._chunks(state)).select(F.lit(self.path).alias("db_path"), F.lit(size).cast("long").alias("db_size_bytes"), "total", "active", "chunks")
 
     def namespaces(self) -> DataFrame:
         return reads.ns_stats(self.memories())

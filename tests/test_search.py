@@ -114,3 +114,21 @@ def test_context_priority(spark):
     found = context.context_result(context.assemble_context(search.search_keywords(rows, chunked(rows), "coding", AT), AT)).first()
     assert [m["key"] for m in found["memories"]] == ["critical-pri", "low-pri"]
     assert found["memories"][0]["score"] == pytest.approx(round(0.4 + 0.2 * math.exp(-0.1) + 0.2, 2))
+
+
+def test_pruned_vectors(spark):
+    """Pivots leave out pairs, and none that counts; odd vectors are similar to none."""
+    import random
+
+    from palimpsest.operators import vectors
+
+    r = random.Random(2)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(6)]
+    rows = [(str(i % 90), [x + r.gauss(0, 0.15) for x in centres[i % 6]]) for i in range(400)] + [("odd", None), ("odd", []), ("zero", [0.0] * 12), ("short", [1.0, 2.0]), ("short", [-1.0, 2.0]), ("null", None)]
+    chunks = spark.createDataFrame(rows, "memory_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows) if i % 20 == 0 or i > 398], "query_id long, embedding array<double>")
+    found = lambda df: sorted(tuple(x) for x in df.select("query_id", "memory_id", "similarity").collect())
+    for least in (0.3, 0.9, 0.0):
+        assert found(vectors.search_vectors(chunks, queries, least, block=9)) == found(search.search_vectors(chunks, queries, least, block=9))
+    assert vectors.compared_share(chunks, queries, 0.9) < 0.5
+    assert vectors.search_vectors(chunks.limit(0), queries).count() == vectors.search_vectors(chunks, queries.limit(0)).count() == 0
