@@ -124,7 +124,7 @@ class Store:
         log, seq = self._log(state.generation), state.seq + 1
         batches = set(batches)
         while True:
-            following = self._seq()
+            following = self._seq() if self._current() == state.generation else log.last() + 1
             for n in range(seq, following):
                 other = log.commit(n)
                 if other is None:
