@@ -249,9 +249,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH rows AS (
   SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT a.n AS anchor, a.vec_id AS anchor_id, a.label AS own, b.n AS other, b.vec_id AS id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM rows a JOIN rows b ON a.n <> b.n WHERE a.vec_id % 50 = 0

@@ -70,3 +70,13 @@ def test_large_components(spark):
 def test_empty(spark):
     assert hn.hard_negatives(spark.createDataFrame([], SCHEMA)).count() == 0
     assert hn.hard_negatives(spark.createDataFrame([(1, [1.0], 1)], SCHEMA), anchors=F.expr("id % 50 = 0")).count() == 0
+
+
+def test_query(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    columns = "anchor_id, positive_id, rank, negative_id, positive_score, negative_score"
+    assert rows_of(hn.op12_hard_negatives(spark, d)) == sorted(con.execute(f"SELECT {columns} FROM ({hn.ORACLE})").fetchall(), key=str)
