@@ -13,12 +13,15 @@ What is controlled is the share of text among the spans that are reported. Runs
 form a family. The hypothesis for a run is that it is text: words joined as identifiers are (or dates and counters,
 where the alphabet has digits alone, or text in hex). DECOYS such strings of the family's lengths, made by a rule from
 common words, go through the same tests; a run's p value under the hypothesis is the share of decoys that look as random
-as it does. The Benjamini-Hochberg procedure rejects it within a family at a false-discovery rate of FDR, and the runs
+as it does. Below the decoys' lowest tenth the share is that of a power law, whose exponent is estimated from that tenth
+(Hill's estimator, less its standard error, and at most STEEPEST): a lower tail of a sum of positive parts falls faster
+than that. So p values go on below 1 / DECOYS, and a few random runs are found among many of text. The
+Benjamini-Hochberg procedure rejects the hypothesis within a family at a false-discovery rate of FDR, and the runs
 for which it is rejected are spans of kind random, unless their score is MOST or more, which of random runs about one in
 a hundred has: these are neither like text nor random. So a short run, which the tests can hardly tell from text, is
 reported only where runs as random as it are many among those of its length. The rate holds for text that the decoys
 are like; hashes and other random identifiers are random, and reported. The procedure works on counts of scores in fixed
-bins, of which there are at most 61 for each of some 60 families.
+bins, of which there are at most 61 for each of some 110 families.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans; the time on very long ones grows with
 their length and little more. Repeated rows are scanned alike, each of them counting in its family. Extra columns pass
@@ -48,8 +51,10 @@ BINS, PER_DECADE = 60, 4
 MOST = 8
 #: What the tests count for: cells most, and the whole alphabet least, as most symbols are expected less than once.
 WEIGHTS = {"alphabet": 0.5, "cells": 2.0, "middle": 1.0, "kinds": 1.0, "vowels": 1.0, "serial": 1.0}
-#: Decoys of a family, and the last band of lengths, of 2**(LAST_BAND / 2) characters or more.
-DECOYS, LAST_BAND = 1000, 14
+#: Decoys of a family, those of them that the tail is estimated from, and the greatest exponent of a tail.
+DECOYS, TAIL, STEEPEST = 500, 50, 12.0
+#: Bands of lengths to a doubling, and the last band, of 2**(LAST_BAND / PER_DOUBLING) characters or more.
+PER_DOUBLING, LAST_BAND = 4, 28
 #: Matches whose places are summed up together.
 SPAN_BLOCK = 256
 #: The alphabets, in the order of their codes.
@@ -224,7 +229,7 @@ def _tested(candidates: Column) -> Column:
     def one(x: Column) -> Column:
         bare = F.rtrim(x["found"], F.lit("="))
         encoding = F.coalesce(*[F.when(bare.rlike(pattern), F.lit(name)) for name, pattern in ENCODINGS.items()], F.lit("base64"))
-        band = F.least(F.lit(LAST_BAND), F.floor(F.log2(F.length(bare)) * 2)).cast("string")
+        band = F.least(F.lit(LAST_BAND), F.floor(F.log2(F.length(bare)) * PER_DOUBLING)).cast("string")
         row = lambda e, bin_: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("random").alias("kind"), F.concat(e, F.lit(":"), band).alias("family"), bin_.alias("bin"))
         return let(encoding, lambda e: row(e, let(_plain(bare, e), lambda plain: _bin(plain, e))))
 
@@ -259,12 +264,22 @@ def decoys(spark: SparkSession, families: list[str]) -> DataFrame:
         "base64": F.replace(F.when(pick(0, 2, "case") == 0, F.array_join(mixed(as_is), "+")).otherwise(F.array_join(mixed(F.initcap), "+")), F.lit("+"), mark),
     }
     encoding, band = F.substring_index("family", ":", 1), F.substring_index("family", ":", -1).cast("int")
-    low, high = F.greatest(F.lit(20), F.ceil(F.pow(2.0, band / 2))), F.ceil(F.pow(2.0, (band + 1) / 2))
+    low, high = F.greatest(F.lit(20), F.ceil(F.pow(2.0, band / PER_DOUBLING))), F.ceil(F.pow(2.0, (band + 1) / PER_DOUBLING))
     text = F.coalesce(*[F.when(encoding == name, x) for name, x in made.items()])
     length = (low + F.pmod(h("length"), high - low)).cast("int")
     return rows.select("family", F.substring(text, F.lit(1), length).alias("plain"))
 
 
+def _as_random(scores: Column, s: Column) -> Column:
+    """The p value of a score below s: the share of decoys (scores, sorted) below s, and in their lowest part a power law."""
+    below = F.size(F.filter(scores, lambda x: x < s))
+    bound = F.greatest(F.element_at(scores, TAIL + 1), F.lit(1 / PER_DECADE))
+    depth = F.aggregate(F.slice(scores, 1, TAIL), F.lit(0.0), lambda t, x: t + F.log(bound / F.greatest(x, F.lit(0.01)))) / TAIL
+    exponent = F.least(F.lit(STEEPEST), (1 - 1 / TAIL**0.5) / F.greatest(depth, F.lit(1e-9)))
+    tail = F.greatest(TAIL / DECOYS * F.pow(s / bound, exponent), below / DECOYS)
+    return F.when(s < bound, tail).otherwise((below + 1) / (DECOYS + 1))
+
+
 def reported_to(tested: DataFrame, fdr: float = FDR) -> dict[str, int]:
     """By family: the last bin whose runs are reported. tested has a row (family, bin) for each run."""
     counts = written(tested.groupBy("family", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
@@ -272,12 +287,12 @@ def reported_to(tested: DataFrame, fdr: float = FDR) -> dict[str, int]:
     if not families:
         return {}
     spark = tested.sparkSession
-    made = decoys(spark, families).select("family", _bin(F.col("plain"), F.substring_index("family", ":", 1)).alias("at")).groupBy("family", "at").agg(F.count(F.lit(1)).alias("d"))
+    scores = decoys(spark, families).select("family", _score(F.col("plain"), F.substring_index("family", ":", 1)).alias("s"))
+    made = scores.groupBy("family").agg(F.array_sort(F.collect_list("s")).alias("scores"))
     family = W.partitionBy("family")
     upto = F.sum("n").over(family.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    rows = counts.select("family", "bin", upto.alias("upto"), F.sum("n").over(family).alias("m"))
-    rows = rows.join(F.broadcast(made), "family").groupBy("family", "bin", "upto", "m").agg(F.sum(F.when(F.col("at") <= F.col("bin"), F.col("d")).otherwise(0)).alias("as_random"))
-    p = (F.col("as_random") + 1) / (DECOYS + 1)
+    rows = counts.select("family", "bin", upto.alias("upto"), F.sum("n").over(family).alias("m")).join(F.broadcast(made), "family")
+    p = _as_random(F.col("scores"), (F.col("bin") + 1) / PER_DECADE)
     found = rows.filter((p * F.col("m") <= fdr * F.col("upto")) & (F.col("bin") < MOST * PER_DECADE)).groupBy("family").agg(F.max("bin").alias("bin"))
     return {r["family"]: r["bin"] for r in found.collect()}
 
