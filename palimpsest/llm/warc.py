@@ -4,9 +4,15 @@ A capture is three records: request, response (or revisit) and metadata; request
 WARC-Concurrent-To. Of captures with equal payloads of at least MIN_REVISIT bytes, that with the smallest page_id is
 the response, the others revisit it and hold headers only.
 
-Spark's text writer makes the archives: a record ends in two line ends, which is the writer's line separator here.
-Archives are gzip files in the shared folder. Captures are written apart by the size of their payloads (SIZES), with so
-many records a file that an archive holds some 70 MB before compression, or the records of one capture of a larger page.
+Archives are .warc.gz files in the shared folder: a warcinfo record, then the records, each of them a gzip member of
+its own, so that it can be read by its offset. A task gathers up to ARCHIVE_BYTES of records, or one that is larger, to
+an archive; Spark's text writer writes each as the one row of a file, and commits the files of tasks that succeeded.
+The driver gives them their names, a rename each.
+
+Reading takes archives of others too, compressed by record, as one stream or not at all. Names of fields are of either
+case, blanks around values don't matter, continued lines are joined, and bytes that aren't UTF-8 are replaced. What
+isn't a record or lacks a length is skipped up to the next record, and is a row with null warc_type, which assembling
+leaves out. An archive that breaks off is an error.
 
 Only narrow columns are shuffled, but for payloads with more repeated digests than a broadcast takes: which captures
 are revisits follows from digests, and assembling carries the fields of a record that are asked for.
@@ -19,8 +25,9 @@ time. Other columns than page_id, url and html aren't archived. Empty tables giv
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import re
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -32,9 +39,11 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import join_by_size, new_path, ship, table, written
 
 MIN_REVISIT = 100
-#: Bytes up to which payloads are written together, and records that one of their archives holds.
-SIZES = ((1 << 16, 3000), (1 << 20, 192), (1 << 62, 3))
+#: Bytes of an archive's records, before compression, if it has more than one.
+ARCHIVE_BYTES = 64 << 20
 CRLF = "\r\n"
+RECORD_END = b"\r\n\r\n"
+_NOT_BLANK, _HEAD_END, _NEXT = re.compile(rb"[^\r\n]"), re.compile(rb"\r?\n\r?\n"), re.compile(rb"\n\r?\nWARC/")
 #: Fixed, as the pages bear no time.
 WARC_DATE = "2024-01-01T00:00:00Z"
 
@@ -124,56 +133,126 @@ def warc_records(captures: DataFrame) -> DataFrame:
     return captures.select(F.explode(F.array(request, answer, metadata)).alias("value"))
 
 
+def _member(record: bytes) -> bytes:
+    deflater = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflater.compress(record + RECORD_END) + deflater.flush()
+
+
+def _archives(records, most: int):
+    """The records in archives of up to `most` bytes each. The last byte of an archive is 0: a gzip member ends in its
+    size, the highest byte last, and after a larger one (16 MB) a small record follows."""
+    info = f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <urn:uuid:%s>{CRLF}WARC-Date: {WARC_DATE}{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: 18{CRLF * 2}format: WARC/1.1{CRLF}"
+    begin = lambda: [_member((info % uuid.uuid4()).encode())]
+    members, held = begin(), 0
+    for record in records:
+        if held and held + len(record) > most:
+            yield b"".join(members if members[-1][-1] == 0 else members + begin())
+            members, held = begin(), 0
+        members.append(_member(record))
+        held += len(record)
+    if held:
+        yield b"".join(members if members[-1][-1] == 0 else members + begin())
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of the pages in a new folder, path."""
-    captures = plan_revisits(pages)
-    size = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0)
-    of = functools.reduce(lambda c, k: c.when(size < SIZES[k][0], k), range(1, len(SIZES)), F.when(size < SIZES[0][0], 0))
-    there = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    for k, (_, n) in enumerate(SIZES):
-        if k and there < SIZES[k - 1][0]:
-            break
-        records = warc_records(captures.filter(of == k))
-        records.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
+    spark, most = pages.sparkSession, ARCHIVE_BYTES
+    ship(spark)
+
+    def run(batches):
+        for archive in _archives((value.as_py() for batch in batches for value in batch.column("value")), most):
+            yield pa.RecordBatch.from_arrays([pa.array([archive[:-1]], pa.binary())], names=["value"])
+
+    archives = warc_records(plan_revisits(pages)).select(F.col("value").cast("binary")).mapInArrow(run, "value binary")
+    # the writer ends a row with a line separator: the byte that was taken off
+    archives.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and status.getLen() and not files.rename(status.getPath(), folder.suffix("/" + name.removesuffix(".txt") + ".warc.gz")):
+            raise OSError(f"can't rename {status.getPath()}")
+
+
+def _inflated(content: bytes):
+    """The bytes of an archive, gzip of one or many members or plain, piece by piece."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[i : i + (1 << 22)] for i in range(0, len(content), 1 << 22))
+        return
+    inflater, at = zlib.decompressobj(31), 0
+    while at < len(content) or inflater.unconsumed_tail:
+        data = inflater.unconsumed_tail or content[at : at + (1 << 16)]
+        if not inflater.unconsumed_tail:
+            at += len(data)
+        got = inflater.decompress(data, 1 << 22)
+        if inflater.eof:
+            at -= len(inflater.unused_data)
+            while content[at : at + 1] == b"\0":  # padding between members
+                at += 1
+            inflater = zlib.decompressobj(31)
+        if got:
+            yield got
+
+
+def _head(lines: list[str]) -> dict[str, str]:
+    """The fields of a header, by names in lower case; a line that begins with a blank continues that before."""
+    head: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            head[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            head[name] = value.strip()
+    return head
 
 
 def _parse(content: bytes):
-    """(headers, block) of each record of a gzip archive, inflated piece by piece; buffers are only cut when more is
-    needed, so that many small records cost no more than their bytes."""
-    inflater, at, held, start = zlib.decompressobj(31), 0, bytearray(), 0
+    """(header, block) of each record of an archive; header is None for what isn't a record. Buffers are only cut when
+    more is needed, so that many small records cost no more than their bytes."""
+    pieces, held, start = _inflated(content), bytearray(), 0
 
     def more() -> bool:
-        nonlocal at, inflater, start
+        nonlocal start
         del held[:start]
         start = 0
-        while at < len(content) or inflater.unconsumed_tail:
-            data = inflater.unconsumed_tail or content[at : at + (1 << 20)]
-            if not inflater.unconsumed_tail:
-                at += len(data)
-            got = inflater.decompress(data, 1 << 22)
-            if inflater.eof:
-                at -= len(inflater.unused_data)
-                inflater = zlib.decompressobj(31)
-            if got:
-                held.extend(got)
-                return True
-        return False
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
 
     while True:
-        while (end := held.find(b"\r\n\r\n", start)) < 0:
+        while not (begins := _NOT_BLANK.search(held, start)):
+            start = len(held)
             if not more():
-                if held[start:].strip():
-                    raise ValueError("a WARC record breaks off in its header")
                 return
-        lines = held[start:end].decode("utf-8").split(CRLF)
-        head = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+        start = begins.start()
+        looked = start
+        while not (ends := _HEAD_END.search(held, looked)):
+            looked = max(0, len(held) - start - 3)
+            if not more():
+                raise ValueError("a WARC record breaks off in its header")
+        lines = re.split("\r?\n", held[start : ends.start()].decode("utf-8", "replace"))
+        head = _head(lines[1:])
+        if not lines[0].startswith("WARC/") or not head.get("content-length", "").isdecimal():
+            skipped = bytes(held[start : ends.start()])
+            start = ends.start()
+            while not (following := _NEXT.search(held, start)):
+                start = max(start, len(held) - 8)
+                if not more():
+                    start = len(held)
+                    break
+            else:
+                start = following.end() - 5
+            yield None, skipped
+            continue
         size = int(head["content-length"])
-        start = end + 4
-        while len(held) < start + size + 4:
+        start = ends.end()
+        while len(held) < start + size:
             if not more():
                 raise ValueError("a WARC record breaks off in its block")
         yield head, bytes(held[start : start + size])
-        start += size + 4
+        start += size
 
 
 def _fields(head: dict[str, str], block: bytes) -> tuple:
@@ -189,7 +268,7 @@ def _fields(head: dict[str, str], block: bytes) -> tuple:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives."""
+    """One row for each record of the archives (*.warc and *.warc.gz) in path."""
     ship(spark)
     kinds = {"block": pa.binary(), "payload_bytes": pa.int64()}
     schema = pa.schema([(f.name, kinds.get(f.name, pa.string())) for f in _RECORD.fields])
@@ -201,7 +280,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 held = 0
                 for head, block in _parse(content.as_py()):
-                    rows.append((*map(head.get, named), *_fields(head, block)))
+                    rows.append((*map((head or {}).get, named), *_fields(head or {}, block)))
                     held += len(block)
                     if held > 1 << 24:
                         yield _batch(rows)
@@ -212,7 +291,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("content")
     return files.mapInArrow(run, _RECORD)
 
 
@@ -227,7 +306,8 @@ def assemble(records: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     fields = ("record_id", *[f for f in fields if f != "record_id"])
     of = lambda part: F.when(F.col("warc_type").isin(kinds[part]), F.col("record_id"))
     each = [F.min_by(f, of(part)).alias(f"{part}_{f}") for part in kinds for f in fields]
-    rows = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*each)
+    parts = records.filter(F.col("warc_type").isin(*[k for types in kinds.values() for k in types]))
+    rows = parts.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*each)
     nested = lambda part: F.when(F.col(f"{part}_record_id").isNotNull(), F.struct(*[F.col(f"{part}_{f}").alias(f) for f in fields]))
     return rows.select("capture_id", *[nested(part).alias(part) for part in kinds])
 

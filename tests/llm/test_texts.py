@@ -332,6 +332,60 @@ def test_rare_keys(spark):
     assert len([i for i in hit if i >= 3000]) >= 25 and len([i for i in hit if i < 3000]) <= 4
 
 
+@pytest.mark.parametrize("n", [40, 64])
+@pytest.mark.parametrize("share", [0.1, 0.01, 0.001])
+def test_shares_of_keys(spark, n, share):
+    """Of keys that are a tenth to a thousandth of the runs of their encoding and length nine in ten are found, among words
+    of several languages as slugs, paths and names with dates, of which hardly any are."""
+    r = random.Random(f"{n} {share}")
+    words = """quick brown harbour valley engine static public method storage monitor planet silver window travel record simple number
+    reader status backup straße garten fenster arbeit zukunft sprache wirtschaft montagne fenetre maison travail voyage semaine
+    ventana trabajo semana lengua mercado viaje finestra lavoro settimana mercato janela mercado trabalho""".replace("ß", "ss").split()
+    several = lambda: r.choices(words, k=14)
+    date = lambda: f"{r.randrange(1990, 2030)}{r.choice('-/')}{r.randrange(1, 13):02d}"
+    forms = [
+        lambda: "/".join(several()),
+        lambda: "-".join([date(), *several()]),
+        lambda: "/".join([several()[0], date(), "-".join(several())]),
+        lambda: "_".join(w.capitalize() for w in several()),
+        lambda: "/".join("".join(w.capitalize() for w in several()[:3]) for _ in range(6)),
+    ]
+    plain = [forms[i % 5]()[: r.randrange(n - 2, n + 3)].strip("-_/") for i in range(10_000 if share < 0.01 else 3000)]
+    keys = ["".join(r.choices(sc.ALPHABETS["base64"], k=n - 1)) + "+" for _ in range(int(len(plain) * share))]
+    of = lambda keys: sc.find_secrets(spark.createDataFrame([(i, f"see {s} there") for i, s in enumerate(plain + keys)], "doc_id long, text string").repartition(4))
+    hit = {x["doc_id"] for x in of(keys).collect() if x["random"]}
+    found, wrong = sum(i >= len(plain) for i in hit), sum(i < len(plain) for i in hit)
+    assert found >= 0.9 * len(keys) and wrong <= 0.1 * found, (found, wrong)
+
+
+def test_control(spark):
+    """The last bins that are reported are those of the procedure done again with all decoys at hand."""
+    r = random.Random(16)
+    families = ["base64:22", "base62:20", "hex:21", "decimal:18", "base26:19"]
+    rows = [(f, min(sc.BINS, int(abs(r.gauss(10, 20))) + r.choice((0, 0, 0, 30)))) for f in families for _ in range(400)]
+    df = spark.createDataFrame(rows, "family string, bin int")
+    scores = collections.defaultdict(list)
+    for x in sc.decoys(spark, sorted(families)).select("family", sc._score(F.col("plain"), F.substring_index("family", ":", 1)).alias("s")).collect():
+        scores[x["family"]].append(x["s"])
+
+    def p(x, s):
+        x = sorted(x)
+        bound, below = max(x[sc.TAIL], 0.25), sum(v < s for v in x)
+        if s >= bound:
+            return (below + 1) / (len(x) + 1)
+        hill = sum(math.log(bound / max(v, 0.01)) for v in x[: sc.TAIL]) / sc.TAIL
+        exponent = min(sc.STEEPEST, (1 - 1 / math.sqrt(sc.TAIL)) / max(hill, 1e-9))
+        return max(sc.TAIL / len(x) * (s / bound) ** exponent, below / len(x))
+
+    expected = {}
+    for f in families:
+        bins = [b for g, b in rows if g == f]
+        good = [b for b in set(bins) if b < sc.MOST * 4 and p(scores[f], (b + 1) / 4) * len(bins) <= sc.FDR * sum(c <= b for c in bins)]
+        if good:
+            expected[f] = max(good)
+    assert sc.reported_to(df) == expected and expected
+
+
 def test_very_long_secrets(spark):
     """A million characters of one run, and of many spans."""
     r = random.Random(15)
