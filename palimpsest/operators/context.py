@@ -26,7 +26,7 @@ def context_score(as_of) -> Column:
     return F.lit(RELEVANCE) + F.exp(-DECAY_PER_DAY * age) * RECENCY + importance * IMPORTANCE + used * ACCESS
 
 
-def pack(candidates: DataFrame, budget: int = BUDGET) -> DataFrame:
+def pack(candidates: DataFrame, budget: int = BUDGET, by: tuple[str, ...] = ()) -> DataFrame:
     """candidates (id, ns, key, kind, content, score) in score order until the budget (in tokens of 4 bytes) is full.
 
     What first overflows is cut to the bytes left, if there are LEAST_EXCERPT of them, and ends the packing. The
@@ -34,21 +34,23 @@ def pack(candidates: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     budget = budget if budget > 0 else BUDGET
     room = budget * BYTES_PER_TOKEN
-    order = W.orderBy(F.desc("score"), "id")
+    order = W.partitionBy(*by).orderBy(F.desc("score"), "id")
     size = F.octet_length(F.coalesce("content", F.lit(""))).cast("long")
     rows = candidates.withColumn("upto", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("upto") - size)
     # sizes aren't negative, so the rows that fit come first and one at most overflows from within the budget
     whole = F.col("upto") <= room
     # of rows without content several may stand at the same place, of which the first comes
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("before", F.col("upto") > room).orderBy(F.desc("score"), "id")))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(*by, "before", F.col("upto") > room).orderBy(F.desc("score"), "id")))
     cut = (F.col("before") <= room) & (room - F.col("before") >= LEAST_EXCERPT) & (F.col("nth") == 1)
     rows = rows.withColumns({"excerpt": ~whole, "left": room - F.col("before")}).filter(whole | cut)
     content = F.when(F.col("excerpt"), F.concat(F.expr("CAST(substring(CAST(content AS BINARY), 1, CAST(left AS INT)) AS STRING)"), F.lit("..."))).otherwise(F.col("content"))
     taken = F.when(F.col("excerpt"), F.col("left") + 3).otherwise(size)
     rows = rows.withColumns({"bytes": taken, "packed": content})
-    return rows.select(
+    used = rows.withColumn("all_bytes", F.sum("bytes").over(W.partitionBy(*by)))
+    return used.select(
+        *by,
         F.lit(budget).alias("budget"),
-        F.expr("CAST(sum(bytes) OVER () DIV 4 AS INT)").alias("used"),
+        F.expr("CAST(all_bytes DIV 4 AS INT)").alias("used"),
         F.row_number().over(order).alias("place"),
         "id",
         "ns",

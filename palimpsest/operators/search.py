@@ -83,13 +83,17 @@ def _bm25_part(tf: Column, df: Column, n: Column | None = None, dl: Column | Non
     return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def search_score(as_of) -> Column:
+    """Of a memory row with rank: priority, recency and the rank of its best chunk."""
+    weight = F.coalesce(*[F.when(F.col("priority") == p, F.lit(w)) for p, w in SEARCH_PRIORITY.items()], F.lit(1.0))
+    return weight * PRIORITY + julian_day(F.col("created_at")) / julian_day(as_timestamp(as_of)) * RECENCY + F.col("rank") * RANK
+
+
 def search_fts(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int | None = SEARCH_LIMIT) -> DataFrame:
     """Latest rows with all terms of the query in one chunk, with score: priority, recency and the best chunk's rank."""
     best = bm25(chunks, query).groupBy("memory_id").agg(F.max("bm25").alias("rank"))
     rows = visible(memories, as_of, ns, kind).join(best, F.col("id") == F.col("memory_id"))
-    weight = F.coalesce(*[F.when(F.col("priority") == p, F.lit(w)) for p, w in SEARCH_PRIORITY.items()], F.lit(1.0))
-    score = weight * PRIORITY + julian_day(F.col("created_at")) / julian_day(as_timestamp(as_of)) * RECENCY + F.col("rank") * RANK
-    return _limit(rows.select(*MEMORY_COLS, score.alias("score")).orderBy(F.desc("score"), "id"), limit)
+    return _limit(rows.select(*MEMORY_COLS, search_score(as_of).alias("score")).orderBy(F.desc("score"), "id"), limit)
 
 
 def search_keywords(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: str | None = None, kind: str | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import round_half_away, split_tags
-from palimpsest.operators import chunking, context, reads, search, vectors, writes
+from palimpsest.functions.text import round_half_away, split_tags, tokens
+from palimpsest.operators import chunking, context, many, reads, search, vectors, writes
 from palimpsest.plans import registry, views
 from palimpsest.plans.registry import _query
 from palimpsest.plans.views import AS_OF, MEM_EVENTS_SQL
@@ -78,19 +78,66 @@ def search_like_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     _FOUND
     + f""", scored AS (SELECT *, 0.4 + exp(-0.1 * (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 8.64e10) * 0.2
-      + (CASE priority WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'low' THEN 0.25 ELSE 0.5 END) * 0.2 AS points FROM found WHERE kind = 'semantic' AND regexp_matches(content, '^[\\x00-\\x7F]*$')),
+      + (CASE priority WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'low' THEN 0.25 ELSE 0.5 END) * 0.2 AS points FROM found WHERE kind = 'semantic'),
     top AS (SELECT *, row_number() OVER (ORDER BY points DESC, id) AS place FROM scored QUALIFY place <= 50),
     summed AS (SELECT *, CAST(sum(strlen(content)) OVER (ORDER BY place) AS BIGINT) AS upto, strlen(content) AS size FROM top),
     packed AS (SELECT *, upto > 6000 AS excerpt, 6000 - (upto - size) AS rest FROM summed WHERE upto <= 6000 OR (upto - size <= 6000 AND 6000 - (upto - size) >= 100))
     SELECT 1500 AS budget, CAST(sum(CASE WHEN excerpt THEN rest + 3 ELSE size END) OVER () // 4 AS INTEGER) AS used, CAST(place AS INTEGER) AS place, ns, key, kind,
-           CASE WHEN excerpt THEN substr(content, 1, CAST(rest AS INTEGER)) || '...' ELSE content END AS content, round(points * 100) / 100 AS score, excerpt FROM packed"""
+           CASE WHEN excerpt THEN substr(hex(content), 1, CAST(rest AS INTEGER) * 2) || hex('...') ELSE hex(content) END AS content, round(points * 100) / 100 AS score, excerpt FROM packed"""
 )
 def context_of_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context that a search's hits fill, the last of them cut: ASCII texts only, whose bytes are characters."""
+    """The context that a search's hits fill, the last of them cut. The contents are compared as bytes, as a cut may part
+    those of a character."""
     found = search.search_fts(mem_notes(spark, sf_dir), line_chunks(spark, sf_dir), "with that", AS_OF, kind="semantic", limit=None)
-    packed = context.assemble_context(found.filter(F.col("content").rlike(r"^[\x00-\x7F]*$")), AS_OF, 1500)
+    packed = context.assemble_context(found, AS_OF, 1500)
     rows = context.context_result(packed, 1500).select("budget", "used", F.posexplode("memories").alias("place", "m"))
-    return rows.select("budget", "used", (F.col("place") + 1).alias("place"), "m.*")
+    return rows.select("budget", "used", (F.col("place") + 1).alias("place"), "m.*").withColumn("content", F.hex("content"))
+
+
+#: Every fiftieth document's first three words are a query against all lines.
+_MANY = f"""WITH {_NOTES}, words AS (SELECT id AS chunk_id, memory_id, {registry._TOKENS} AS w FROM chunks),
+queries AS (SELECT doc_id AS query_id, list_distinct(({registry._TOKENS})[1:3]) AS terms FROM documents WHERE doc_id % 50 = 0),
+wanted AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM queries),
+posted AS (SELECT chunk_id, memory_id, term, CAST(dl AS DOUBLE) AS dl, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT chunk_id, memory_id, len(w) AS dl, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+dfs AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM posted GROUP BY term),
+counts AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM words),
+parts AS (SELECT query_id, chunk_id, memory_id, n_terms, (CASE WHEN n - df <= df THEN 0.000001 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS part
+  FROM wanted JOIN posted USING (term) JOIN dfs USING (term), counts),
+best AS (SELECT query_id, memory_id, max(bm25) AS rank FROM (SELECT query_id, chunk_id, memory_id, sum(part) AS bm25 FROM parts GROUP BY query_id, chunk_id, memory_id, n_terms HAVING count(*) = n_terms) GROUP BY ALL)"""
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.slice(tokens(F.col("text")), 1, 3)
+    return views.read(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+
+
+@_query(
+    _MANY
+    + f""", found AS (SELECT query_id, m.id, CASE priority WHEN 'critical' THEN 4.0 WHEN 'high' THEN 3.0 WHEN 'normal' THEN 2.0 ELSE 1.0 END * 0.2
+   + (epoch_us(created_at) / 8.64e10 + 2440587.5) / (epoch_us(TIMESTAMP '{AS_OF}') / 8.64e10 + 2440587.5) * 0.3 + rank * 0.5 AS score FROM mem_notes m JOIN best ON id = memory_id)
+   SELECT query_id, CAST(place AS INTEGER) AS place, round(score * 1000000) / 1000000 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM found) WHERE place <= 10"""
+)
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked keyword searches for a set of queries. The ids are left to context_queries, as sums that differ in their last
+    digit may part ties here."""
+    found = many.search_fts_many(mem_notes(spark, sf_dir), line_chunks(spark, sf_dir), _queries(spark, sf_dir), AS_OF, limit=10)
+    return found.select("query_id", "place", round_half_away(F.col("score"), 6).alias("score"))
+
+
+@_query(
+    _MANY
+    + f""", scored AS (SELECT query_id, m.*, 0.4 + exp(-0.1 * (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 8.64e10) * 0.2
+      + (CASE priority WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'low' THEN 0.25 ELSE 0.5 END) * 0.2 AS points FROM mem_notes m JOIN best ON id = memory_id),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) AS place FROM scored QUALIFY place <= 50),
+    summed AS (SELECT *, CAST(sum(strlen(content)) OVER (PARTITION BY query_id ORDER BY place) AS BIGINT) AS upto, strlen(content) AS size FROM top),
+    packed AS (SELECT *, upto > 6000 AS excerpt, 6000 - (upto - size) AS rest FROM summed WHERE upto <= 6000 OR (upto - size <= 6000 AND 6000 - (upto - size) >= 100))
+    SELECT query_id, CAST(sum(CASE WHEN excerpt THEN rest + 3 ELSE size END) OVER (PARTITION BY query_id) // 4 AS INTEGER) AS used, CAST(place AS INTEGER) AS place, id,
+           CASE WHEN excerpt THEN substr(hex(content), 1, CAST(rest AS INTEGER) * 2) || hex('...') ELSE hex(content) END AS content, round(points * 100) / 100 AS score, excerpt FROM packed"""
+)
+def context_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context for each of a set of queries, contents as bytes."""
+    packed = many.contexts(mem_notes(spark, sf_dir), line_chunks(spark, sf_dir), _queries(spark, sf_dir), AS_OF, 1500)
+    return packed.select("query_id", "used", "place", "id", F.hex("content").alias("content"), "score", "excerpt")
 
 
 _NEAR = registry._BEST + ", timed AS (SELECT memory_id AS id, similarity, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(memory_id AS INTEGER)) AS created_at FROM near)"
