@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import context, search
+from palimpsest.operators import context, many, search
 from palimpsest.schema import MEMORIES
 
 AT = "2024-02-01 00:00:00"
@@ -132,3 +132,35 @@ def test_pruned_vectors(spark):
         assert found(vectors.search_vectors(chunks, queries, least, block=9)) == found(search.search_vectors(chunks, queries, least, block=9))
     assert vectors.compared_share(chunks, queries, 0.9) < 0.5
     assert vectors.search_vectors(chunks.limit(0), queries).count() == vectors.search_vectors(chunks, queries.limit(0)).count() == 0
+
+
+def test_many_queries(spark):
+    """Each query has what it has alone; the same terms in another order are the same, and odd queries find nothing."""
+    texts = ["red green blue", "green green tea", "red tea", "blue sky over red tea and green fields", "", "sky"]
+    rows = memories(spark, *[(str(i), "n", f"k{i}", t, f"2024-01-0{i + 1} 00:00:00", {"priority": ["high", "low", "normal"][i % 3]}) for i, t in enumerate(texts)])
+    asked = {1: "green", 2: "Red tea", 3: "tea red tea", 4: "nowhere red", 5: "", 6: None, 7: "sky", 8: "-"}
+    queries = spark.createDataFrame([*asked.items(), (7, "sky")], "query_id long, query string")
+    found = {}
+    for x in many.search_fts_many(rows, chunked(rows), queries, AT).collect():
+        found.setdefault(x["query_id"], []).append((x["place"], x["id"], round(x["score"], 9)))
+    packed = {}
+    for x in many.contexts(rows, chunked(rows), queries, AT, 10).collect():
+        packed.setdefault(x["query_id"], []).append((x["place"], x["id"], x["used"], x["content"]))
+    assert set(found) == set(packed) == {1, 2, 3, 7}
+    for query_id in found:
+        hits = search.search_fts(rows, chunked(rows), asked[query_id], AT)
+        assert sorted(found[query_id]) == [(k + 1, x["id"], round(x["score"], 9)) for k, x in enumerate(hits.collect())]
+        alone = context.assemble_context(hits.drop("score"), AT, 10).collect()
+        assert sorted(packed[query_id]) == sorted((x["place"], x["id"], x["used"], x["content"]) for x in alone)
+    for none in (queries.limit(0), queries.filter("query_id = 4")):
+        assert many.contexts(rows, chunked(rows), none, AT).count() == 0 and many.search_fts_many(rows, chunked(rows), none, AT).count() == 0
+    assert many.search_fts_many(rows.limit(0), chunked(rows.limit(0)), queries, AT).count() == 0
+
+
+@pytest.mark.parametrize("shift", range(3))
+def test_excerpt_in_a_character(spark, shift):
+    """A cut takes bytes, of a character too."""
+    content = "x" * shift + "€" * 400
+    rows = memories(spark, ("1", "n", "k", content, "2024-01-01 00:00:00"))
+    [x] = context.assemble_context(rows, AT, 101).select(F.hex("content").alias("h"), "excerpt", "used").collect()
+    assert bytes.fromhex(x["h"]) == content.encode()[:404] + b"..." and x["excerpt"] and x["used"] == 101
