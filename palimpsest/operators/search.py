@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import as_timestamp, fold_token, julian_day, like_substring, query_terms, round_half_away, tokens
+from palimpsest.functions.text import as_timestamp, fold_token, julian_day, let, like_substring, query_terms, round_half_away, tokens
 from palimpsest.operators.filters import visible
 from palimpsest.schema import MEMORY_COLS
 
@@ -36,11 +36,25 @@ def search_like(memories: DataFrame, chunks: DataFrame, query: str, as_of, ns: s
     return _limit(found.orderBy(F.desc("created_at"), "id"), limit)
 
 
+def term_counts(words: Column) -> Column:
+    """(term, tf) of an array of words: how often each is in it, by the places where the sorted words change."""
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w, at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))
+    counted = let(F.sort_array(words), lambda w: let(starts(w), lambda at: runs(w, at)))
+    return F.when(F.size(words) > 0, counted)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, memory_id, tf, dl): how often each token is in each chunk, and the chunk's tokens in all."""
+    """(term, chunk_id, memory_id, tf, dl): how often each token is in each chunk, and the chunk's tokens in all. A chunk is
+    counted by itself, without a shuffle; only ids that come twice, which are looked for first, have their counts put together."""
     words = chunks.select(F.col("id").alias("chunk_id"), "memory_id", tokens(F.col("text")).alias("words"))
-    each = words.select("chunk_id", "memory_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy("term", "chunk_id", "memory_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_id", "memory_id", "tf", "dl")
+    each = words.select("chunk_id", "memory_id", F.size("words").cast("long").alias("dl"), F.inline(term_counts(F.col("words")))).select("term", "chunk_id", "memory_id", "tf", "dl")
+    twice = chunks.groupBy(F.xxhash64("id").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    if twice.isEmpty():
+        return each
+    once = each.join(twice, F.xxhash64("chunk_id") == F.col("h"), "left_anti")
+    more = each.join(twice, F.xxhash64("chunk_id") == F.col("h"), "left_semi").groupBy("term", "chunk_id", "memory_id", "dl").agg(F.sum("tf").alias("tf"))
+    return once.unionByName(more)
 
 
 def bm25_by_index(index, query: str) -> DataFrame:

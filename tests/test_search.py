@@ -191,3 +191,17 @@ def test_excerpt_in_a_character(spark, shift):
     rows = memories(spark, ("1", "n", "k", content, "2024-01-01 00:00:00"))
     [x] = context.assemble_context(rows, AT, 101).select(F.hex("content").alias("h"), "excerpt", "used").collect()
     assert bytes.fromhex(x["h"]) == content.encode()[:404] + b"..." and x["excerpt"] and x["used"] == 101
+
+
+def test_postings_shuffle_no_words(spark):
+    """A chunk's tokens are counted in place, the same ids together, and empty or null texts have none."""
+    texts = [(str(i), "m", " ".join(f"w{i * j % 13}" for j in range(40))) for i in range(50)] + [("x", "m", "a b"), ("x", "m", "b c"), ("y", "m", ""), ("z", "m", None), (None, "m", "a b"), (None, "m", "b c")]
+    rows = spark.createDataFrame(texts, "id string, memory_id string, text string")
+    expected = {}
+    for id_, _, text in texts:
+        words = (text or "").split()
+        for w in words:
+            expected[w, id_, len(words)] = expected.get((w, id_, len(words)), 0) + 1
+    assert {(r["term"], r["chunk_id"], r["dl"]): r["tf"] for r in search.postings(rows).collect()} == expected
+    once = rows.filter("id < 'x'")
+    assert shuffled(spark, lambda: search.postings(once).collect()) <= 4 * 50
