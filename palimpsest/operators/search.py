@@ -153,12 +153,19 @@ def search_vector(memories: DataFrame, chunks: DataFrame, query: list[float], as
 
 
 #: Query vectors that are compared with all rows at once.
-QUERY_BLOCK = 1000
+QUERY_BLOCK = 8192
 
 
 def search_vectors(chunks: DataFrame, queries: DataFrame, least: float = MIN_SIMILARITY, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, memory_id, similarity) of at least that similarity, for each of queries (query_id, embedding): the best
-    of a memory's chunks. The queries go against all chunks in blocks of about `block`, each broadcast."""
+    of a memory's chunks. The queries go against all chunks in blocks of about `block`, as products of matrices."""
+    from palimpsest.operators import vectors
+
+    return vectors.search_vectors(chunks, queries, least, block, n_pivots=0)
+
+
+def all_pairs(chunks: DataFrame, queries: DataFrame, least: float = MIN_SIMILARITY, block: int = QUERY_BLOCK) -> DataFrame:
+    """The same by Spark's columns, pair by pair, for a similarity of 0 or less too, which vectors have that can't be compared."""
     n = max(1, -(-queries.count() // block))
     held = chunks.filter("embedding IS NOT NULL").select("memory_id", F.col("embedding").alias("v"))
     parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]

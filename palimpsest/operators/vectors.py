@@ -11,18 +11,26 @@ similarity 0 with all, as those of another length have, and so are found only by
 from __future__ import annotations
 
 import math
+import pickle
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.operators import search
 from palimpsest.scratch import written
+from palimpsest.shipping import ship
 
 #: Pivots, and the vectors that they are chosen from.
 PIVOTS, SAMPLE = 32, 2000
 #: Angles differ by so much from what they should be, at most.
 SLACK = 1e-6
+#: Queries that a batch is multiplied with at once.
+TILE = 2048
 
 
 def _dot(x: Column, y: Column) -> Column:
@@ -75,21 +83,80 @@ def pairs(held: DataFrame, queries: DataFrame, pivots: list[list[float]], least:
     return compared.select("query_id", "memory_id", (_dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
 
 
+def _of_width(asked: pa.Table, n_pivots: int) -> dict[int, tuple]:
+    """Queries (v, norm, angles) by the length of their vectors: their numbers, vectors, norms, and angles with the pivots if they have any."""
+    found: dict[int, list[int]] = {}
+    for i, n in enumerate(pc.list_value_length(asked["v"]).to_pylist()):
+        found.setdefault(n, []).append(i)
+    out = {}
+    for width, at in found.items():
+        part = asked.take(at).combine_chunks()
+        angles = part["angles"].combine_chunks()
+        flat = angles.flatten().to_numpy(zero_copy_only=False).reshape(len(at), n_pivots) if n_pivots and not angles.null_count else None
+        v = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
+        out[width] = (np.array(at), v, part["norm"].to_numpy(), flat)
+    return out
+
+
+def near(held: DataFrame, shared, least: float) -> DataFrame:
+    """(number, memory_id, similarity) of what pairs() gives for a broadcast block of queries, by products of matrices: the best of a
+    memory's vectors in a batch, if it is about `least` or more. Rows of a pivot go against the queries within reach of any of them."""
+    reach = math.acos(max(-1.0, min(1.0, least))) + SLACK
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("memory_id", held.schema["memory_id"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        by_width = pickle.loads(shared.value)
+        for batch in batches:
+            ids, vectors = batch.column("memory_id"), batch.column("v")
+            width = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            memory = ids.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            norm, pivot, angle = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("norm", "pivot", "angle"))
+            order = np.lexsort((memory, pivot, width))
+            cuts = np.flatnonzero((np.diff(width[order]) != 0) | (np.diff(pivot[order]) != 0)) + 1
+            for at in np.split(order, cuts) if len(order) else ():
+                asked = by_width.get(int(width[at[0]]))
+                if asked is None:
+                    continue
+                number, q, q_norm, q_angles = asked
+                p = int(pivot[at[0]])
+                if p >= 0:
+                    if q_angles is None:
+                        continue
+                    some = np.flatnonzero((q_angles[:, p] >= angle[at].min() - reach) & (q_angles[:, p] <= angle[at].max() + reach))
+                    number, q, q_norm = number[some], q[some], q_norm[some]
+                v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                starts = np.flatnonzero(np.append(True, np.diff(memory[at]) != 0))
+                for k in range(0, len(number), TILE):
+                    tile = slice(k, k + TILE)
+                    best = np.maximum.reduceat((v @ q[tile].T) / (norm[at][:, None] * q_norm[tile][None, :]), starts, axis=0)
+                    # the sum's order may matter in the last digits; what isn't a number is the largest, as in Spark
+                    g, j = np.nonzero(~(best < least - SLACK))
+                    yield pa.RecordBatch.from_arrays([pa.array(number[tile][j]), ids.take(pa.array(at[starts[g]])), pa.array(best[g, j])], ["number", "memory_id", "similarity"])
+
+    return held.select("memory_id", "v", "norm", "pivot", "angle").mapInArrow(run, schema)
+
+
 def search_vectors(chunks: DataFrame, queries: DataFrame, least: float = search.MIN_SIMILARITY, block: int = search.QUERY_BLOCK, n_pivots: int = PIVOTS) -> DataFrame:
     """What search.search_vectors() finds. The queries go against all chunks in blocks of about `block`, one after another;
-    what a block finds is written."""
+    what a block finds is written. No pivots: all pairs of the same length are compared."""
     if least <= 0:
-        return search.search_vectors(chunks, queries, least, block)
+        return search.all_pairs(chunks, queries, least, block)
+    spark = chunks.sparkSession
+    ship(spark)
     vectors = with_norm(chunks, "embedding", "memory_id")
-    pivots = pivots_of(vectors, n_pivots)
-    held = written(clustered(vectors, pivots), "vectors")
-    asked = written(with_norm(queries, "embedding", "query_id"), "queries")
-    n = max(1, -(-asked.count() // block))
-    found = []
+    pivots = pivots_of(vectors, n_pivots) if n_pivots else []
+    held = written(clustered(vectors, pivots).sortWithinPartitions("pivot", "angle"), "vectors")
+    asked = with_norm(queries, "embedding", "query_id")
+    asked = written(asked.withColumn("angles", _angles(pivots) if pivots else F.lit(None).cast("array<double>")), "queries")
+    n, found = max(1, -(-asked.count() // block)), []
     for k in range(n):
-        part = pairs(held, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k), pivots, least).filter(F.col("similarity") >= least)
-        best = part.groupBy("query_id", "memory_id").agg(F.max("similarity").alias("similarity"))
-        found.append(search.above_threshold(best, least) if n == 1 else written(search.above_threshold(best, least), "near"))
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow()
+        shared = spark.sparkContext.broadcast(pickle.dumps(_of_width(part, len(pivots))))
+        names = spark.createDataFrame(part.select(["query_id"]).append_column("number", pa.array(range(len(part)), pa.int64())), T.StructType([asked.schema["query_id"], T.StructField("number", T.LongType())]))
+        # the best of a task's batches before they are named
+        best = near(held, shared, least).groupBy("number", "memory_id").agg(F.max("similarity").alias("similarity")).join(F.broadcast(names), "number")
+        best = best.groupBy("query_id", "memory_id").agg(F.max("similarity").alias("similarity"))
+        found.append(written(search.above_threshold(best, least), "near"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -205,3 +205,21 @@ def test_postings_shuffle_no_words(spark):
     assert {(r["term"], r["chunk_id"], r["dl"]): r["tf"] for r in search.postings(rows).collect()} == expected
     once = rows.filter("id < 'x'")
     assert shuffled(spark, lambda: search.postings(once).collect()) <= 4 * 50
+
+
+def test_vectors_by_matrices(spark):
+    """No pair of vectors is compared by itself in an expression, and the rows are those of all pairs."""
+    import random
+
+    from palimpsest.operators import vectors
+
+    r = random.Random(5)
+    rows = [(str(i % 7), [r.gauss(0, 1) for _ in range(8 if i % 5 else 4)]) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "memory_id string, embedding array<float>")
+    queries = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows) if i % 9 == 0], "query_id long, embedding array<float>")
+    found = lambda df: sorted(tuple(x) for x in df.select("query_id", "memory_id", "similarity").collect())
+    expected = found(search.all_pairs(chunks, queries, 0.3))
+    for module in (search, vectors):
+        df = module.search_vectors(chunks, queries, 0.3, block=10)
+        assert found(df) == expected and len(expected) > 50
+        assert "zip_with" not in df._jdf.queryExecution().toString()
