@@ -19,16 +19,21 @@ from functools import reduce
 from operator import add, or_
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import LOWER, UPPER, as_timestamp, fold_ascii, julian_day, let, like_substring, query_terms, tokens
+from palimpsest.functions.text import LOWER, UPPER, as_timestamp, fold_ascii, julian_day, like_substring, query_terms, tokens
 from palimpsest.operators import search
 from palimpsest.operators.filters import visible
+from palimpsest.shipping import ship
 
 #: Memories of a block.
 BLOCK = 128
+#: Rows of trigrams that a task gives back at once.
+GRAM_ROWS = 20_000
 #: Blocks that are written into a filter, blocks that a ranked search opens first, and memories whose texts a substring
 #: search reads first (twice as many each time, up to the last number).
 LITERAL, SEEDS, FIRST_READ, MOST_READ = 512, 32, 64, 4096
@@ -65,9 +70,10 @@ def weight(priority: Column) -> Column:
 
 def postings_of(chunks: DataFrame) -> DataFrame:
     """The postings of chunks (ref, seq, text, weight, created): a row for each term and block."""
+    # a chunk's terms are counted in place; only its distinct ones are shuffled
     words = chunks.select("ref", "seq", "weight", "created", tokens(F.col("text")).alias("words"))
-    each = words.select("ref", "seq", "weight", "created", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    counted = each.groupBy("term", "ref", "seq", "weight", "created", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counts = F.inline(search.term_counts(F.col("words")))
+    counted = words.select("ref", "seq", "weight", "created", F.size("words").alias("dl"), counts).withColumn("tf", F.col("tf").cast("int"))
     entry = F.struct((F.col("ref") % BLOCK).cast("int").alias("ref"), "seq", "tf", "dl")
     rows = counted.groupBy("term", F.floor(F.col("ref") / BLOCK).cast("long").alias("block")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -80,20 +86,40 @@ def postings_of(chunks: DataFrame) -> DataFrame:
     return rows
 
 
-def _grams(text: Column) -> Column:
-    """The distinct trigrams of a text's bytes, A-Z folded, each as a number."""
-    # bytes are counted, so that a part is found in constant time
-    at = lambda b, i: F.conv(F.hex(F.substring(b, i, 3)), 16, 10).cast("int")
-    some = let(fold_ascii(text).cast("binary"), lambda b: F.when(F.octet_length(b) >= 3, F.transform(F.sequence(F.lit(1), F.octet_length(b) - 2), lambda i: at(b, i))))
-    return F.array_distinct(some)
+def _grams(refs: np.ndarray, texts: pa.Array):
+    """(gram, block, refs) of a batch of texts: the distinct trigrams of their bytes, each as a number, with the memories of a block that have it."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size = np.diff(offsets)
+    held = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64) if size.sum() else np.empty(0, np.int64)
+    if len(held) < 3:
+        return
+    row = np.repeat(np.arange(len(size)), size)
+    # those of one text alone
+    at = np.flatnonzero(row[:-2] == row[2:])
+    blocks, block = np.unique(refs // BLOCK, return_inverse=True)
+    gram = (held[at] << 16) | (held[at + 1] << 8) | held[at + 2]
+    keys = np.unique((block[row[at]] << 31) | (gram << 7) | (refs[row[at]] % BLOCK))
+    starts = np.flatnonzero(np.append(True, np.diff(keys >> 7) != 0)) if len(keys) else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array((keys & (BLOCK - 1)).astype(np.int32)))
+    gram, block = ((keys[starts] >> 7) & 0xFFFFFF).astype(np.int32), blocks[keys[starts] >> 31]
+    for a in range(0, len(starts), GRAM_ROWS):
+        part = slice(a, a + GRAM_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(block[part]), lists[part]], ["gram", "block", "refs"])
 
 
 def grams_of(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The trigrams of memories (ref, content, key) and of their chunks (ref, text): a row for each and each block."""
+    """The trigrams of memories (ref, content, key) and of their chunks (ref, text), A-Z folded: a row for each and each block. A batch of
+    texts, which are in the order of refs, gives one row for each trigram and block."""
+    ship(rows.sparkSession)
     texts = rows.select("ref", F.explode(F.array("content", "key")).alias("text")).unionByName(chunks.select("ref", "text"))
-    each = texts.select("ref", F.explode(_grams(F.col("text"))).alias("gram"))
-    ref = (F.col("ref") % BLOCK).cast("int")
-    return each.groupBy("gram", F.floor(F.col("ref") / BLOCK).cast("long").alias("block")).agg(F.array_sort(F.collect_set(ref)).alias("refs"))
+    texts = texts.filter("octet_length(text) >= 3").select("ref", fold_ascii(F.col("text")).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield from _grams(batch.column("ref").to_numpy(), batch.column("text"))
+
+    each = texts.mapInArrow(run, "gram int, block long, refs array<int>")
+    return each.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
 
 
 # reading some of it

@@ -223,3 +223,25 @@ def test_vectors_by_matrices(spark):
         df = module.search_vectors(chunks, queries, 0.3, block=10)
         assert found(df) == expected and len(expected) > 50
         assert "zip_with" not in df._jdf.queryExecution().toString()
+
+
+def test_index_of_a_segment(spark):
+    """Terms and trigrams by blocks, as counted one by one; a chunk's terms are counted before anything is shuffled."""
+    from palimpsest.operators import indexed
+
+    made = [(100 + i, f"Ab{i % 3} xyz ab{i % 3}é", f"k{i}") for i in range(60)] + [(5, None, "Z"), (6, "ab", "KEY")]
+    rows = spark.createDataFrame(made, "ref long, content string, key string")
+    chunks = rows.select("ref", F.lit(0).alias("seq"), F.col("content").alias("text"), F.lit(1.0).alias("weight"), F.lit(2.0).alias("created"))
+    grams, terms = {}, {}
+    for ref, content, key in made:
+        for text in (content or "", key):
+            b = "".join(c.lower() if c.isascii() else c for c in text).encode()
+            for i in range(len(b) - 2):
+                grams.setdefault((int.from_bytes(b[i : i + 3], "big"), ref // 128), set()).add(ref % 128)
+        words = (content or "").lower().replace("é", "e").split()
+        for w in set(words):
+            terms.setdefault((w, ref // 128), []).append((ref % 128, 0, words.count(w), len(words)))
+    assert {(r["gram"], r["block"]): r["refs"] for r in indexed.grams_of(rows, chunks).collect()} == {k: sorted(v) for k, v in grams.items()}
+    postings = indexed.postings_of(chunks)
+    assert {(r["term"], r["block"]): [tuple(e) for e in r["entries"]] for r in postings.collect()} == {k: sorted(v) for k, v in terms.items()}
+    assert postings._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
