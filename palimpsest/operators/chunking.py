@@ -9,6 +9,7 @@ joined parts ends as many lines after its start as it has line ends.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,25 +76,29 @@ def chunk_text(content: str | None, target_bytes: int = TARGET_BYTES, max_bytes:
     return chunks
 
 
-def with_chunks(rows: DataFrame, content: str = "content", target_bytes: int = TARGET_BYTES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """rows with chunks: array<struct<seq, text, start_line, end_line>>. Only texts over max_bytes leave the JVM."""
+def with_chunks(rows: DataFrame, content: str = "content", target_bytes: int = TARGET_BYTES, max_bytes: int = MAX_BYTES, keep: bool = True) -> DataFrame:
+    """rows with chunks: array<struct<seq, text, start_line, end_line>>. Only texts over max_bytes leave the JVM; they come back unless keep is off,
+    with which rows have no content any more."""
     ship(rows.sparkSession)
     bare = trim_space(F.coalesce(content, F.lit("")))
     short = F.octet_length(bare) <= max_bytes
     one = F.struct(F.lit(0).alias("seq"), bare.alias("text"), F.lit(1).alias("start_line"), F.size(F.split(bare, "\n")).alias("end_line"))
     none = F.array().cast(T.ArrayType(CHUNK))
     brief = rows.filter(short).withColumn("chunks", F.when(bare == "", none).otherwise(F.array(one).cast(T.ArrayType(CHUNK))))
-    schema = T.StructType([*rows.schema.fields, T.StructField("chunks", T.ArrayType(CHUNK))])
+    names = [c for c in rows.columns if keep or c != content]
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("chunks", T.ArrayType(CHUNK))])
 
     def run(batches):
         for batch in batches:
-            found = [
-                [{"seq": i, "text": t, "start_line": a, "end_line": b} for i, (t, a, b) in enumerate(chunk_text(text, target_bytes, max_bytes))]
-                for text in batch.column(content).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_CHUNKS)], names=[*batch.schema.names, "chunks"])
-
-    return brief.unionByName(rows.filter(~short).mapInArrow(run, schema))
+            found = [chunk_text(text, target_bytes, max_bytes) for text in batch.column(content).to_pylist()]
+            ends = list(accumulate(map(len, found), initial=0))
+            each = [(i, *chunk) for chunks in found for i, chunk in enumerate(chunks)]
+            columns = zip(*each, strict=True) if each else [()] * len(CHUNK)
+            held = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW_CHUNKS.value_type, strict=True)], fields=list(_ARROW_CHUNKS.value_type))
+            chunks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], chunks], names=[*names, "chunks"])
+
+    return brief.select(*names, "chunks").unionByName(rows.filter(~short).mapInArrow(run, schema))
 
 
 def chunk_rows(memories: DataFrame, target_bytes: int = TARGET_BYTES, max_bytes: int = MAX_BYTES) -> DataFrame:

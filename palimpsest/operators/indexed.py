@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ from palimpsest.shipping import ship
 
 #: Memories of a block.
 BLOCK = 128
-#: Rows of trigrams that a task gives back at once.
+#: Rows of trigrams or postings that a task gives back at once.
 GRAM_ROWS = 20_000
+#: In postings that were made by whole blocks, the term that all chunks of a block have; no token is empty.
+EVERY = ""
 #: Blocks that are written into a filter, blocks that a ranked search opens first, and memories whose texts a substring
 #: search reads first (twice as many each time, up to the last number).
 LITERAL, SEEDS, FIRST_READ, MOST_READ = 512, 32, 64, 4096
@@ -46,14 +49,14 @@ Blocks = dict[str, list[int]]
 class Index(NamedTuple):
     """The index of the live segments, each row with its batch, the name of the segment.
 
-    postings: schema.POSTINGS; grams: schema.GRAMS; lengths: schema.LENGTHS; gone: (batch, memory_id) of memories that were deleted for
+    postings: schema.POSTINGS; grams: schema.GRAMS; lengths: schema.LENGTHS (None if it was asked for without); gone: (batch, memory_id) of memories that were deleted for
     good and are still in their segment, or None; chunks and tokens count those of all segments, and of gone ones.
     rows(blocks) and texts(blocks) are the memory and chunk rows of some blocks (None: of all).
     """
 
-    postings: DataFrame
-    grams: DataFrame
-    lengths: DataFrame
+    postings: DataFrame | None
+    grams: DataFrame | None
+    lengths: DataFrame | None
     gone: DataFrame | None
     chunks: int
     tokens: int
@@ -86,11 +89,101 @@ def postings_of(chunks: DataFrame) -> DataFrame:
     return rows
 
 
+def _whole_blocks(batches: Iterable[pa.RecordBatch]):
+    """The same rows, which are in the order of ref, as tables of whole blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch.column("ref").to_numpy() // BLOCK
+        last = int(np.searchsorted(blocks, blocks[-1]))
+        if last or held and held[-1].column("ref")[0].as_py() // BLOCK != blocks[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_blocks(rows: DataFrame, order: list[str], with_columns: Callable[[DataFrame], DataFrame], made: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `made` gives of whole blocks: the rows are shuffled by block, what is made of them is not."""
+    ship(rows.sparkSession)
+    dealt = rows.repartition(block_of(F.col("ref"))).sortWithinPartitions(*order)
+
+    def run(batches):
+        for table in _whole_blocks(batches):
+            yield from made(table)
+
+    return with_columns(dealt).mapInArrow(run, schema)
+
+
+def _parts(arrays: list[pa.Array], names: list[str]):
+    for a in range(0, len(arrays[0]), GRAM_ROWS):
+        yield pa.RecordBatch.from_arrays([x[a : a + GRAM_ROWS] for x in arrays], names)
+
+
+def _block_postings(table: pa.Table):
+    """Rows of schema.POSTINGS of whole blocks of chunks (ref, seq, weight, created, words), which are in order; one for EVERY term too."""
+    refs, seq, weights, created = (table.column(c).to_numpy() for c in ("ref", "seq", "weight", "created"))
+    words, n = table.column("words").combine_chunks(), table.num_rows
+    dl = pc.list_value_length(words).to_numpy()
+    coded = pc.dictionary_encode(words.flatten())
+    terms = pa.concat_arrays([coded.dictionary, pa.array([EVERY])])
+    blocks, block = np.unique(refs // BLOCK, return_inverse=True)
+    row = np.arange(n).repeat(dl)
+    keys, tf = np.unique((block[row] * len(terms) + coded.indices.to_numpy()) * n + row, return_counts=True)
+    keys, tf = np.append(keys, (block * len(terms) + len(terms) - 1) * n + np.arange(n)), np.append(tf, np.zeros(n, np.int64))
+    row, group = keys % n, keys // n
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = lambda f, x: pa.array(f.reduceat(x, starts))
+    entries = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (refs[row] % BLOCK, seq[row], tf, dl[row])], ["ref", "seq", "tf", "dl"])
+    ends = np.append(starts, len(keys))
+    yield from _parts(
+        [
+            terms.take(pa.array(group[starts] % len(terms))),
+            pa.array(blocks[group[starts] // len(terms)]),
+            pa.array(np.diff(ends)),
+            least(np.maximum, tf.astype(np.int32)),
+            least(np.minimum, dl[row].astype(np.int32)),
+            least(np.maximum, weights[row]),
+            least(np.maximum, created[row]),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries),
+        ],
+        ["term", "block", "n", "max_tf", "min_dl", "max_weight", "max_created", "entries"],
+    )
+
+
+def block_postings(chunks: DataFrame) -> DataFrame:
+    """What postings_of() gives, by tasks that hold whole blocks, so that texts are shuffled and postings aren't; and a row of each
+    block for EVERY term, which lists its chunks, those without tokens too."""
+    words = lambda rows: rows.select("ref", "seq", "weight", "created", tokens(F.col("text")).alias("words"))
+    schema = "term string, block long, n long, max_tf int, min_dl int, max_weight double, max_created double, entries array<struct<ref: int, seq: int, tf: int, dl: int>>"
+    return _by_blocks(chunks.select("ref", "seq", "weight", "created", "text"), ["ref", "seq"], words, _block_postings, schema)
+
+
+def lengths_of(postings: DataFrame, rows: DataFrame) -> DataFrame:
+    """schema.LENGTHS by block_postings() and rows (ref, id)."""
+    each = postings.filter(F.col("term") == EVERY).select("block", F.inline("entries"))
+    each = each.groupBy((F.col("block") * BLOCK + F.col("ref")).alias("ref")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens"))
+    return each.join(rows.select("ref", F.col("id").alias("memory_id")), "ref")
+
+
+#: A-Z folded, byte by byte.
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def block_grams(rows: DataFrame) -> DataFrame:
+    """The trigrams of memories (ref, content, key) by tasks that hold whole blocks. Chunks have no others but such with a line end
+    (what joins their parts), by which query_grams() doesn't look."""
+    texts = rows.select("ref", F.explode(F.array("content", "key")).alias("text")).filter("octet_length(text) >= 3")
+    return _by_blocks(texts, ["ref"], lambda same: same, lambda table: _grams(table.column("ref").to_numpy(), table.column("text").combine_chunks()), "gram int, block long, refs array<int>")
+
+
 def _grams(refs: np.ndarray, texts: pa.Array):
     """(gram, block, refs) of a batch of texts: the distinct trigrams of their bytes, each as a number, with the memories of a block that have it."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     size = np.diff(offsets)
-    held = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64) if size.sum() else np.empty(0, np.int64)
+    held = _FOLDED[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]].astype(np.int64) if size.sum() else np.empty(0, np.int64)
     if len(held) < 3:
         return
     row = np.repeat(np.arange(len(size)), size)
@@ -102,9 +195,7 @@ def _grams(refs: np.ndarray, texts: pa.Array):
     starts = np.flatnonzero(np.append(True, np.diff(keys >> 7) != 0)) if len(keys) else np.empty(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array((keys & (BLOCK - 1)).astype(np.int32)))
     gram, block = ((keys[starts] >> 7) & 0xFFFFFF).astype(np.int32), blocks[keys[starts] >> 31]
-    for a in range(0, len(starts), GRAM_ROWS):
-        part = slice(a, a + GRAM_ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(block[part]), lists[part]], ["gram", "block", "refs"])
+    yield from _parts([pa.array(gram), pa.array(block), lists], ["gram", "block", "refs"])
 
 
 def grams_of(rows: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -263,9 +354,10 @@ def ranked_top(index: Index, query: str, as_of, ns: str | None = None, kind: str
 
 
 def query_grams(query: str) -> list[int]:
-    """The trigrams that every text with the query has: those of its pieces between wildcards."""
+    """The trigrams that every memory with the query has: those of its pieces between wildcards, without those with a line end, which a
+    chunk may have where its content has none."""
     folded = query.translate(str.maketrans(UPPER, LOWER))
-    pieces = [p.encode() for p in re.split("[%_]+", folded)]
+    pieces = [p.encode() for p in re.split("[%_\n]+", folded)]
     return sorted({int.from_bytes(p[i : i + 3], "big") for p in pieces for i in range(len(p) - 2)})
 
 
@@ -288,6 +380,9 @@ def candidates(index: Index, query: str) -> DataFrame | None:
 def _matches(index: Index, query: str, blocks: Blocks | None, chosen: DataFrame) -> DataFrame:
     """Those of chosen (batch, ref, ...) whose content, key or chunks hold the query."""
     own = index.rows(blocks).join(chosen, ["batch", "ref"], "left_semi").filter(like_substring(F.col("content"), query) | like_substring(F.col("key"), query))
+    if blocks is None and not re.search("[%_\n]", query):
+        # what is on one line of a chunk is in its content
+        return chosen.join(own.select("batch", "ref"), ["batch", "ref"], "left_semi")
     held = index.texts(blocks).join(chosen, ["batch", "ref"], "left_semi").filter(like_substring(F.col("text"), query))
     return chosen.join(own.select("batch", "ref").unionByName(held.select("batch", "ref")), ["batch", "ref"], "left_semi")
 
@@ -310,7 +405,7 @@ def like_top(index: Index, query: str, as_of, ns: str | None = None, kind: str |
         return place(search_like(index, query, as_of, ns, kind))
     blocks = _literal(some.withColumn("block", block_of(F.col("ref"))))
     rows = visible(index.rows(blocks), as_of, ns, kind).join(some, ["batch", "ref"], "left_semi").select("batch", "ref", "id", "created_at")
-    spark, found, size, last = index.postings.sparkSession, [], FIRST_READ, None
+    spark, found, size, last = index.grams.sparkSession, [], FIRST_READ, None
     while len(found) < limit:
         # the next ones in order
         after = rows if last is None else rows.filter((F.col("created_at") < last["created_at"]) | ((F.col("created_at") == last["created_at"]) & (F.col("id") > last["id"])))

@@ -81,14 +81,14 @@ def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_ranked_sql() + f" SELECT {_KEYED}, round(score * 1000000) / 1000000 AS score FROM ranked")
 def store_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ranked hits by the stored postings."""
-    found = indexed.all_ranked(doc_store(spark, sf_dir).index(), "with that", AS_OF)
+    found = indexed.all_ranked(doc_store(spark, sf_dir).index(kinds=["postings"]), "with that", AS_OF)
     return found.select("ns", "key", "version", round_half_away(F.col("score"), 6).alias("score"))
 
 
 @_query(_ranked_sql() + ", first AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS place FROM ranked QUALIFY place <= 20) SELECT CAST(place AS INTEGER) AS place, round(score * 1000000) / 1000000 AS score FROM first")
 def store_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hits, for which only the blocks are opened whose bound reaches the last of them."""
-    index = doc_store(spark, sf_dir).index()
+    index = doc_store(spark, sf_dir).index(kinds=["postings"])
     hits = indexed.ranked_top(index, "With THAT", AS_OF, limit=20).refs
     rows = indexed.rows_of(index, [(b, r, i + 1) for i, (b, r) in enumerate(hits)])
     best = search.bm25_by_index(index, "with that").groupBy("memory_id").agg(F.max("bm25").alias("rank"))
@@ -102,7 +102,7 @@ _LIKE = f"SELECT * FROM latest WHERE contains({registry._FOLDED.format('text')},
 @_query(f"WITH {_ROWS}, hits AS ({_LIKE.format('that with')}) SELECT {_KEYED} FROM hits")
 def store_search_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All substring hits by the stored trigrams."""
-    index = doc_store(spark, sf_dir).index()
+    index = doc_store(spark, sf_dir).index(kinds=["grams"])
     found = indexed.search_like(index, "That WITH", AS_OF).select("batch", "ref")
     return index.rows(None).join(found, ["batch", "ref"], "left_semi").select("ns", "key", "version")
 
@@ -110,7 +110,7 @@ def store_search_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_ROWS} SELECT {_KEYED} FROM latest WHERE {registry._FOLDED.format('text')} LIKE '%the%that_w%'")
 def store_search_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with wildcards, between which the pieces have trigrams."""
-    index = doc_store(spark, sf_dir).index()
+    index = doc_store(spark, sf_dir).index(kinds=["grams"])
     found = indexed.search_like(index, "the%that_w", AS_OF).select("batch", "ref")
     return index.rows(None).join(found, ["batch", "ref"], "left_semi").select("ns", "key", "version")
 
@@ -118,7 +118,7 @@ def store_search_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_ROWS}, hits AS ({_LIKE.format('that with')}), first AS (SELECT created_at, row_number() OVER (ORDER BY created_at DESC) AS place FROM hits QUALIFY place <= 20) SELECT CAST(place AS INTEGER) AS place, created_at FROM first")
 def store_like_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest substring hits, for which the texts of candidates alone are read."""
-    index = doc_store(spark, sf_dir).index()
+    index = doc_store(spark, sf_dir).index(kinds=["grams"])
     hits = indexed.like_top(index, "that with", AS_OF, limit=20)
     return indexed.rows_of(index, [(b, r, i + 1) for i, (b, r) in enumerate(hits)]).select("place", "created_at")
 

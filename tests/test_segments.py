@@ -268,3 +268,33 @@ def test_compaction_that_closed_but_did_not_turn(spark, tmp_path, monkeypatch):
     assert [r["content"] for r in store.list(as_of=T2).collect()] == ["x"] and store._current() == "g0"
     assert store.put("n", "a", "z", as_of=T2)["version"] == 2
     assert store._current() != "g0" and [r["content"] for r in store.list(as_of=T3).collect()] == ["z"]
+
+
+def test_index_made_when_needed(spark, tmp_path, monkeypatch):
+    """Puts of many keys and their merge write memories alone; the first search makes the index of its kind, once, and it finds what the texts hold."""
+    monkeypatch.setattr(st, "INLINE", 2)
+    monkeypatch.setattr(st, "FANOUT", 3)
+    store, r = Store(spark, f"file://{tmp_path}/s"), random.Random(3)
+    text = lambda i: "" if i % 40 == 0 else "\n\n\n".join(" ".join(r.choices(WORDS, k=r.randrange(3, 90))) for _ in range(r.randrange(1, 4)))
+    tables = lambda: {name for name in [*st.TABLES, "made"] if Files(spark).names(f"{store.path}/g0/{name}")}
+    for k in range(3):
+        store.put_many(puts_of(spark, [("n", f"k{k}x{i}", text(i), "high") for i in range(110)]), T1)
+    store.rm_many(spark.createDataFrame([("n", f"k1x{i}") for i in range(1, 9)], "ns string, key string"), hard=True)
+    assert tables() == {"memories"} and len(store._state().segments) == 1
+    index = store.index(kinds=["postings"])
+    assert index.grams is None and len(Files(spark).names(f"{store.path}/g0/made")) == 1
+    ranks = lambda df: sorted((x["chunk_id"], round(x["bm25"], 9)) for x in df.collect())
+    assert ranks(search.bm25_by_index(index, "alpha mu")) == ranks(search.bm25(store.chunks(), "alpha mu")) != []
+    assert index.postings.groupBy("term", "block").count().filter("count > 1").isEmpty()
+    for query in ("alpha beta", "mu\n\nalpha", "eta%\n\n_amma", "mu_alpha"):
+        full = [x["id"] for x in search.search_like(store.memories(), store.chunks(), query, T9, limit=None).collect()]
+        index = store.index()
+        assert sorted(x["id"] for x in indexed.search_like(index, query, T9).collect()) == sorted(full)
+        rows = indexed.rows_of(index, [(b, ref, i) for i, (b, ref) in enumerate(indexed.like_top(index, query, T9, limit=7))]).collect()
+        assert [x["id"] for x in sorted(rows, key=lambda x: x["place"])] == full[:7]
+    state = store._state()
+    assert sorted(state.segments.popitem()[1]["made"]) == ["grams", "postings"] and len(Files(spark).names(f"{store.path}/g0/made")) == 2
+    store.vacuum(0)
+    assert len(Files(spark).names(f"{store.path}/g0/made")) == 2
+    store.compact()
+    assert ranks(search.bm25_by_index(store.index(), "alpha mu")) == ranks(search.bm25(store.chunks(), "alpha mu")) != []
