@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 #: What parts the tokens of a text.
 BETWEEN_TOKENS = r"[^\p{L}\p{N}]+"
+#: What a text must not have for plain_tokens(): characters beyond Latin letters and common punctuation, and one that is two in lower case.
+ODD = r"[^\x00-\x{12F}\x{131}-\x{24F}\x{2000}-\x{206F}]"
 _SECONDS = {"d": 86_400, "h": 3_600, "m": 60, "s": 1}
 
 
@@ -48,6 +53,38 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(fold_token(text), BETWEEN_TOKENS), "")
 
 
+def _token_point(c: int) -> int:
+    """What tokens() makes of a code point; 0 if it parts tokens."""
+    folded = chr(c).lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return ord(folded) if len(folded) == 1 and unicodedata.category(folded)[0] in "LN" else 0
+
+
+_POINTS = np.array([_token_point(c) if c < 0x250 else 0 for c in range(0x2070)], np.uint16)
+
+
+def plain_tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """What tokens() gives of texts without ODD characters, by a table of code points: the tokens of all texts in order, and how many each has."""
+    points = _POINTS[np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)]
+    held = points > 0
+    edges = np.flatnonzero(np.diff(held, prepend=False, append=False))
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    letters, offsets = points[held], np.append(0, np.cumsum(size))
+    if len(letters) and letters.max() >= 0x80:
+        # their places in UTF-8
+        offsets = offsets + sum(np.searchsorted(np.flatnonzero(letters >= least), offsets) for least in (0x80, 0x800))
+        data = letters.astype("<u2").tobytes().decode("utf-16-le").encode()
+    else:
+        data = letters.astype(np.uint8).tobytes()
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)), counts
+
+
+def is_odd(text: Column) -> Column:
+    """Whether plain_tokens() can't take a text."""
+    return ~F.is_valid_utf8(text) | (F.octet_length(text) != F.length(text)) & text.rlike(ODD)
+
+
 def query_terms(query: str) -> list[str]:
     """The distinct search tokens of a query, in order, and as tokens() makes them."""
     folded = query.lower().translate(str.maketrans(ACCENTED, PLAIN))

@@ -25,9 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.functions.text import LOWER, UPPER, as_timestamp, fold_ascii, julian_day, like_substring, query_terms, tokens
+from palimpsest.functions.text import LOWER, UPPER, as_timestamp, fold_ascii, is_odd, julian_day, like_substring, plain_tokens, query_terms, tokens
 from palimpsest.operators import search
+from palimpsest.operators.chunking import chunk_text
 from palimpsest.operators.filters import visible
 from palimpsest.shipping import ship
 
@@ -35,6 +37,8 @@ from palimpsest.shipping import ship
 BLOCK = 128
 #: Rows of trigrams or postings that a task gives back at once.
 GRAM_ROWS = 20_000
+#: Bytes of texts of which a task makes postings at once, in whole blocks; characters whose tokens are found at once.
+RUN_BYTES, RUN_CHARS = 8 << 20, 2 << 20
 #: In postings that were made by whole blocks, the term that all chunks of a block have; no token is empty.
 EVERY = ""
 #: Blocks that are written into a filter, blocks that a ranked search opens first, and memories whose texts a substring
@@ -89,32 +93,61 @@ def postings_of(chunks: DataFrame) -> DataFrame:
     return rows
 
 
-def _whole_blocks(batches: Iterable[pa.RecordBatch]):
-    """The same rows, which are in the order of ref, as tables of whole blocks."""
+#: What an entry of a posting has.
+_ENTRY = ["ref", "seq", "tf", "dl"]
+
+
+def packed(postings: DataFrame) -> DataFrame:
+    """postings_of() as they are stored."""
+    ship(postings.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column("entries")
+            each = np.stack([held.flatten().field(c).to_numpy() for c in _ENTRY], axis=1)
+            sizes = pc.list_value_length(held).to_numpy()
+            yield batch.set_column(batch.schema.get_field_index("entries"), "entries", _as_binary(each, np.append(0, np.cumsum(sizes))))
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "entries" else f for f in postings.schema])
+    return postings.mapInArrow(run, schema)
+
+
+def _as_binary(entries: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The rows between the ends, each as one value (schema.POSTINGS)."""
+    width = 2 if entries.max(initial=0) < 1 << 16 else 4
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * len(_ENTRY) * width).astype(np.int32)), pa.py_buffer(entries.astype(f"<u{width}").tobytes())])
+
+
+def _whole_blocks(batches: Iterable[pa.RecordBatch], least: int = 0):
+    """The same rows, which are in the order of ref, as tables of whole blocks, of `least` bytes if there are so many."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         blocks = batch.column("ref").to_numpy() // BLOCK
         last = int(np.searchsorted(blocks, blocks[-1]))
-        if last or held and held[-1].column("ref")[0].as_py() // BLOCK != blocks[-1]:
+        size += batch.nbytes
+        if size >= least and (last or held and held[-1].column("ref")[-1].as_py() // BLOCK != blocks[-1]):
             yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
+            held, size = [], 0
+        elif last:
+            held.append(batch.slice(0, last))
         held.append(batch.slice(last))
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _by_blocks(rows: DataFrame, order: list[str], with_columns: Callable[[DataFrame], DataFrame], made: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def _by_blocks(rows: DataFrame, order: list[str], made: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, least: int = 0) -> DataFrame:
     """What `made` gives of whole blocks: the rows are shuffled by block, what is made of them is not."""
     ship(rows.sparkSession)
     dealt = rows.repartition(block_of(F.col("ref"))).sortWithinPartitions(*order)
 
     def run(batches):
-        for table in _whole_blocks(batches):
+        for table in _whole_blocks(batches, least):
             yield from made(table)
 
-    return with_columns(dealt).mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def _parts(arrays: list[pa.Array], names: list[str]):
@@ -122,49 +155,102 @@ def _parts(arrays: list[pa.Array], names: list[str]):
         yield pa.RecordBatch.from_arrays([x[a : a + GRAM_ROWS] for x in arrays], names)
 
 
+def _chunk_words(table: pa.Table):
+    """Of chunks as _posted() has them, in order: ref, seq, weight, created and the number of tokens of each; then of each token its chunk; and all tokens."""
+    whole, seq = table.column("text").to_pylist(), table.column("seq").to_pylist()
+    row, seqs, texts, odd = [], [], [], []
+    for i, text in enumerate(whole):
+        if text is None:
+            odd.append(i)
+            continue
+        cut = [text] if seq[i] is not None else [c for c, *_ in chunk_text(text)]
+        row += [i] * len(cut)
+        seqs += range(len(cut)) if seq[i] is None else [seq[i]]
+        texts += cut
+    words, dl, a, size = [], [], 0, 0
+    for b, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= RUN_CHARS or b + 1 == len(texts):
+            found, n = plain_tokens(texts[a : b + 1])
+            words.append(found)
+            dl.append(n)
+            a, size = b + 1, 0
+    if odd:
+        found = table.column("words").take(pa.array(odd)).combine_chunks()
+        words.append(found.flatten())
+        dl.append(pc.list_value_length(found).to_numpy())
+    row, seqs = np.array(row + odd, np.int64), np.array(seqs + [seq[i] for i in odd], np.int64)
+    dl = np.concatenate([np.empty(0, np.int64), *dl]).astype(np.int64)
+    refs, weights, created = (table.column(c).to_numpy()[row] for c in ("ref", "weight", "created"))
+    order = np.lexsort((seqs, refs))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return [x[order] for x in (refs, seqs, weights, created, dl)], place.repeat(dl), pa.concat_arrays([pa.array([], pa.string()), *words])
+
+
 def _block_postings(table: pa.Table):
-    """Rows of schema.POSTINGS of whole blocks of chunks (ref, seq, weight, created, words), which are in order; one for EVERY term too."""
-    refs, seq, weights, created = (table.column(c).to_numpy() for c in ("ref", "seq", "weight", "created"))
-    words, n = table.column("words").combine_chunks(), table.num_rows
-    dl = pc.list_value_length(words).to_numpy()
-    coded = pc.dictionary_encode(words.flatten())
-    terms = pa.concat_arrays([coded.dictionary, pa.array([EVERY])])
+    """Rows of schema.POSTINGS of whole blocks, in the order of terms and blocks; one for EVERY term too."""
+    (refs, seq, weights, created, dl), row, words = _chunk_words(table)
+    n = len(refs)
+    if not n:
+        return
+    coded = pc.dictionary_encode(words)
+    order = pc.sort_indices(coded.dictionary)
+    terms = pa.concat_arrays([pa.array([EVERY]), coded.dictionary.take(order)])
+    code = np.empty(len(order), np.int64)
+    code[order.to_numpy()] = np.arange(1, len(order) + 1)
     blocks, block = np.unique(refs // BLOCK, return_inverse=True)
-    row = np.arange(n).repeat(dl)
-    keys, tf = np.unique((block[row] * len(terms) + coded.indices.to_numpy()) * n + row, return_counts=True)
-    keys, tf = np.append(keys, (block * len(terms) + len(terms) - 1) * n + np.arange(n)), np.append(tf, np.zeros(n, np.int64))
+    keys, tf = np.unique((code[coded.indices.to_numpy()] * len(blocks) + block[row]) * n + row, return_counts=True)
+    keys, tf = np.append(block * n + np.arange(n), keys), np.append(np.zeros(n, np.int64), tf)
     row, group = keys % n, keys // n
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    group = group[starts]
     least = lambda f, x: pa.array(f.reduceat(x, starts))
-    entries = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (refs[row] % BLOCK, seq[row], tf, dl[row])], ["ref", "seq", "tf", "dl"])
-    ends = np.append(starts, len(keys))
+    entries = np.stack([refs[row] % BLOCK, seq[row], tf, dl[row]], axis=1)
     yield from _parts(
         [
-            terms.take(pa.array(group[starts] % len(terms))),
-            pa.array(blocks[group[starts] // len(terms)]),
-            pa.array(np.diff(ends)),
+            terms.take(pa.array(group // len(blocks))),
+            pa.array(blocks[group % len(blocks)]),
+            pa.array(np.diff(starts, append=len(keys))),
             least(np.maximum, tf.astype(np.int32)),
             least(np.minimum, dl[row].astype(np.int32)),
             least(np.maximum, weights[row]),
             least(np.maximum, created[row]),
-            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries),
+            _as_binary(entries, np.append(starts, len(keys))),
         ],
         ["term", "block", "n", "max_tf", "min_dl", "max_weight", "max_created", "entries"],
     )
 
 
+def _posted(rows: DataFrame) -> DataFrame:
+    """The postings of rows (ref, seq, weight, created, text, words): chunks, of which those without text have their words; a text without seq is
+    one that is to be cut. They are in order by runs of RUN_BYTES of text."""
+    schema = "term string, block long, n long, max_tf int, min_dl int, max_weight double, max_created double, entries binary"
+    return _by_blocks(rows, ["ref", "seq"], _block_postings, schema, RUN_BYTES)
+
+
 def block_postings(chunks: DataFrame) -> DataFrame:
-    """What postings_of() gives, by tasks that hold whole blocks, so that texts are shuffled and postings aren't; and a row of each
+    """What packed(postings_of()) gives, by tasks that hold whole blocks, so that texts are shuffled and postings aren't; and a row of each
     block for EVERY term, which lists its chunks, those without tokens too."""
-    words = lambda rows: rows.select("ref", "seq", "weight", "created", tokens(F.col("text")).alias("words"))
-    schema = "term string, block long, n long, max_tf int, min_dl int, max_weight double, max_created double, entries array<struct<ref: int, seq: int, tf: int, dl: int>>"
-    return _by_blocks(chunks.select("ref", "seq", "weight", "created", "text"), ["ref", "seq"], words, _block_postings, schema)
+    odd = is_odd(F.col("text"))
+    return _posted(chunks.select("ref", "seq", "weight", "created", F.when(~odd, F.col("text")).alias("text"), F.when(odd, tokens(F.col("text"))).alias("words")))
+
+
+def memory_postings(rows: DataFrame, chunked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same of memories (ref, content, priority, created_at), which are cut where their postings are made; odd ones
+    by chunked() before."""
+    text = F.coalesce("content", F.lit(""))
+    plain = rows.filter(~is_odd(text)).select(
+        "ref", F.lit(None).cast("int").alias("seq"), weight(F.col("priority")).alias("weight"), julian_day(F.col("created_at")).alias("created"), text.alias("text"), F.lit(None).cast("array<string>").alias("words")
+    )
+    odd = chunked(rows.filter(is_odd(text)))
+    return _posted(plain.unionByName(odd.select("ref", "seq", "weight", "created", F.lit(None).cast("string").alias("text"), tokens(F.col("text")).alias("words"))))
 
 
 def lengths_of(postings: DataFrame, rows: DataFrame) -> DataFrame:
     """schema.LENGTHS by block_postings() and rows (ref, id)."""
-    each = postings.filter(F.col("term") == EVERY).select("block", F.inline("entries"))
-    each = each.groupBy((F.col("block") * BLOCK + F.col("ref")).alias("ref")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens"))
+    each = _inlined(postings.filter(F.col("term") == EVERY))
+    each = each.groupBy("ref").agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("tokens"))
     return each.join(rows.select("ref", F.col("id").alias("memory_id")), "ref")
 
 
@@ -176,7 +262,7 @@ def block_grams(rows: DataFrame) -> DataFrame:
     """The trigrams of memories (ref, content, key) by tasks that hold whole blocks. Chunks have no others but such with a line end
     (what joins their parts), by which query_grams() doesn't look."""
     texts = rows.select("ref", F.explode(F.array("content", "key")).alias("text")).filter("octet_length(text) >= 3")
-    return _by_blocks(texts, ["ref"], lambda same: same, lambda table: _grams(table.column("ref").to_numpy(), table.column("text").combine_chunks()), "gram int, block long, refs array<int>")
+    return _by_blocks(texts, ["ref"], lambda table: _grams(table.column("ref").to_numpy(), table.column("text").combine_chunks()), "gram int, block long, refs array<int>")
 
 
 def _grams(refs: np.ndarray, texts: pa.Array):
@@ -247,9 +333,29 @@ def _only(rows: DataFrame, blocks: Blocks) -> DataFrame:
     return rows.filter(reduce(or_, [(F.col("batch") == s) & F.col("block").isin(b) for s, b in blocks.items()], F.lit(False)))
 
 
+def _inlined(postings: DataFrame, *keep: str) -> DataFrame:
+    """A row (keep, ref, seq, tf, dl) for each entry."""
+    ship(postings.sparkSession)
+    held = postings.select(*keep, "block", "n", "entries")
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            widths = pc.binary_length(batch.column("entries")).to_numpy() // (n * len(_ENTRY))
+            for width, a in ((w, a) for w in (2, 4) for a in range(0, batch.num_rows, BLOCK)):
+                rows = a + np.flatnonzero(widths[a : a + BLOCK] == width)
+                each = np.frombuffer(b"".join(batch.column("entries").take(pa.array(rows)).to_pylist()), f"<u{width}").reshape(-1, len(_ENTRY)).astype(np.int32)
+                rows = rows.repeat(n[rows])
+                refs = batch.column("block").to_numpy()[rows] * BLOCK + each[:, 0]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in keep], pa.array(refs), *[pa.array(each[:, i]) for i in (1, 2, 3)]], [*keep, "ref", *_ENTRY[1:]])
+
+    schema = T.StructType([*[held.schema[c] for c in keep], T.StructField("ref", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in _ENTRY[1:]]])
+    return held.mapInArrow(run, schema)
+
+
 def _entries(postings: DataFrame) -> DataFrame:
-    rows = postings.select("batch", "block", "term", F.inline("entries"))
-    return rows.select("batch", (F.col("block") * BLOCK + F.col("ref")).alias("ref"), "seq", "term", F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"))
+    rows = _inlined(postings, "batch", "term")
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("tf", "dl")})
 
 
 def _statistics(index: Index, terms: list[str]) -> tuple[float, float, dict[str, float]]:

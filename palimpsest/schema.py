@@ -45,9 +45,17 @@ CHUNKS = _fields(
 STORED_MEMORIES = T.StructType([*MEMORIES.fields, *_fields(ref=T.LongType(), covered=T.BooleanType()).fields])
 STORED_CHUNKS = T.StructType([*CHUNKS.fields, *_fields(ref=T.LongType(), weight=T.DoubleType(), created=T.DoubleType()).fields])
 #: The index of a segment (operators/indexed.py): terms and trigrams by blocks of memories; and the chunks and tokens of each memory.
-_ENTRY = _fields(ref=T.IntegerType(), seq=T.IntegerType(), tf=T.IntegerType(), dl=T.IntegerType())
+#: The entries of a posting are one value: of each the memory's place in its block, seq, tf and dl, as little-endian numbers of 16 bits, or all of 32,
+#: which the length tells.
 POSTINGS = _fields(
-    term=T.StringType(), block=T.LongType(), n=T.LongType(), max_tf=T.IntegerType(), min_dl=T.IntegerType(), max_weight=T.DoubleType(), max_created=T.DoubleType(), entries=T.ArrayType(_ENTRY)
+    term=T.StringType(),
+    block=T.LongType(),
+    n=T.LongType(),
+    max_tf=T.IntegerType(),
+    min_dl=T.IntegerType(),
+    max_weight=T.DoubleType(),
+    max_created=T.DoubleType(),
+    entries=T.BinaryType(),
 )
 GRAMS = _fields(gram=T.IntegerType(), block=T.LongType(), refs=T.ArrayType(T.IntegerType()))
 LENGTHS = _fields(ref=T.LongType(), memory_id=T.StringType(), chunks=T.LongType(), tokens=T.LongType())

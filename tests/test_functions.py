@@ -40,3 +40,18 @@ def test_times(spark):
     at = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
     assert value(spark, t.julian_day(at)) == 2460311.0
     assert value(spark, t.rfc3339(at)) == "2024-01-01T12:00:00Z"
+
+
+def test_plain_tokens(spark):
+    """By the table of code points the same as by Spark's columns, for every character that isn't odd."""
+    points = [c for c in range(0x2070) if c < 0x250 and c != 0x130 or c >= 0x2000]
+    texts = ["".join(map(chr, points)), *[f"aB{chr(c)}9É{chr(c)}" for c in points], "", " ", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert rows.filter(t.is_odd(F.col("t"))).isEmpty()
+    words, counts = t.plain_tokens(texts)
+    ends = counts.cumsum()
+    expected = {r["i"]: r["w"] for r in rows.select("i", t.tokens(F.col("t")).alias("w")).collect()}
+    assert [words[e - n : e].to_pylist() for n, e in zip(counts, ends, strict=True)] == [expected[i] for i in range(len(texts))]
+    odd = spark.createDataFrame([("İ",), ("a中",), ("ɐ",), ("Σ",), ("𝟘",)], "t string")
+    assert odd.filter(t.is_odd(F.col("t"))).count() == 5
+    assert spark.sql("SELECT CAST(x'61ff' AS STRING) AS t").filter(t.is_odd(F.col("t"))).count() == 1

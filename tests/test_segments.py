@@ -298,3 +298,32 @@ def test_index_made_when_needed(spark, tmp_path, monkeypatch):
     assert len(Files(spark).names(f"{store.path}/g0/made")) == 2
     store.compact()
     assert ranks(search.bm25_by_index(store.index(), "alpha mu")) == ranks(search.bm25(store.chunks(), "alpha mu")) != []
+
+
+def test_postings_of_memories(spark, tmp_path, monkeypatch):
+    """Texts of any characters, cut and counted by tasks that hold whole blocks, have the postings that their chunks have; they are in order by runs, so
+    that only texts are sorted, and no postings."""
+    monkeypatch.setattr(st, "INLINE", 2)
+    store, r = Store(spark, f"file://{tmp_path}/s"), random.Random(5)
+    words = [*WORDS, "Éa", "straße", "x’y", "中文", "İz", "Σας", "²3", "ǅ"]
+    text = lambda i: "" if i % 40 == 0 else "\n\n".join(" ".join(r.choices(words if i % 5 else WORDS, k=r.randrange(3, 150))) for _ in range(r.randrange(1, 5)))
+    puts = [("n", f"k{i:03d}", text(i), ["high", "low"][i % 2]) for i in range(300)]
+    store.put_many(puts_of(spark, [*puts, ("n", "long", "mu " * 70_000, "low"), ("n", "none", None, "low")]), T1)
+    found = store.index(kinds=["postings"]).postings
+    rows = spark.read.parquet(f"{store.path}/g0/memories")
+    chunks = store._chunked(rows, None)
+    names = ["term", "block", "n", "max_tf", "min_dl", "max_weight", "max_created"]
+    plain = lambda row: (*[row[c] for c in names], sorted(tuple(e) for e in row["entries"]))
+    held = indexed._inlined(found, "term").filter("term <> ''").groupBy("term", F.floor(F.col("ref") / indexed.BLOCK).alias("block"))
+    entries = {(x["term"], x["block"]): x["entries"] for x in held.agg(F.collect_list(F.struct((F.col("ref") % indexed.BLOCK).alias("ref"), "seq", "tf", "dl")).alias("entries")).collect()}
+    stored = [plain(x.asDict() | {"entries": entries[x["term"], x["block"]]}) for x in found.filter("term <> ''").collect()]
+    assert sorted(stored) == sorted(map(plain, indexed.postings_of(chunks).collect()))
+    assert any(x[3] == 70_000 for x in stored) and {"straße", "中文"} <= {x[0] for x in stored}
+    again = indexed.packed(indexed.postings_of(chunks))
+    assert sorted(map(tuple, indexed._inlined(again, "term").collect())) == sorted(map(tuple, indexed._inlined(found.filter("term <> ''"), "term").collect()))
+    made = indexed.memory_postings(rows.drop("batch"), lambda odd: store._chunked(odd, None))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.index("MapInArrow") < plan.index("Sort [")
+    # one run and so one order for each task
+    each = made.withColumn("task", F.spark_partition_id()).collect()
+    assert each == sorted(each, key=lambda x: (x["task"], x["term"].encode(), x["block"]))
