@@ -1,6 +1,10 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import shipping
 from palimpsest.functions import text as t
 
 
@@ -55,3 +59,14 @@ def test_plain_tokens(spark):
     odd = spark.createDataFrame([("İ",), ("a中",), ("ɐ",), ("Σ",), ("𝟘",)], "t string")
     assert odd.filter(t.is_odd(F.col("t"))).count() == 5
     assert spark.sql("SELECT CAST(x'61ff' AS STRING) AS t").filter(t.is_odd(F.col("t"))).count() == 1
+
+
+def test_code_is_sent_once(spark, monkeypatch):
+    """Threads that need it at once send it once, and go on when it is there."""
+    sent = []
+    monkeypatch.setattr(shipping, "_shipped", set())
+    monkeypatch.setattr(shipping, "_send", lambda _: (time.sleep(0.2), sent.append(1)))
+    threads = [threading.Thread(target=shipping.ship, args=(spark,)) for _ in range(4)]
+    [x.start() for x in threads]
+    [x.join() for x in threads]
+    assert sent == [1]
